@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import mixing
+from glyphmill.llm import mixing, simhash
 
 
 def queries() -> dict:
-    return {"op2_mix_sources": mixing.op2}
+    return {"op2_mix_sources": mixing.op2, "op5_simhash_near_dedup": simhash.op5}
 
 
 def oracle_sql() -> dict:
