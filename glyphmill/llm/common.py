@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of anything but ASCII white space.
@@ -73,3 +73,29 @@ def small_slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4 <<
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+
+
+#: Texts longer than this are not taken into a training sample (they are scored like all others).
+LONGEST_TRAINING_TEXT = 200_000
+
+
+def class_sample(rows: DataFrame, per_class: int, salt: str, most_classes: int = 64) -> list[tuple[str, object]]:
+    """At most ``per_class`` (text, label) pairs of each of the most frequent labels.
+
+    ``rows`` has doc_id, text and label; nulls and held-out rows are left out. Rows are taken by
+    the smallest hashes of their ids, so the sample does not depend on order or partitions. A
+    hash threshold leaves about twice the sample of each class before anything is ranked.
+    """
+    usable = rows.where(~held_out(F.col("doc_id")) & F.col("label").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST_TRAINING_TEXT))
+    counted = usable.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(most_classes).collect()
+    if not counted:
+        return []
+    scale = 1 << 30
+    within = F.lit(False)
+    for found in counted:
+        share = min(1.0, (2 * per_class + 50) / found["count"])
+        within = within | ((F.col("label") == F.lit(found["label"])) & (F.col("h") <= int(share * scale)))
+    hashed = usable.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(scale))).where(within)
+    order = Window.partitionBy("label").orderBy("h", "doc_id", "text")
+    ranked = hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class)
+    return sorted(((r["text"], r["label"]) for r in ranked.select("text", "label").collect()), key=lambda r: (str(r[1]), r[0]))

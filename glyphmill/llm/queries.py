@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import mixing, simhash
+from glyphmill.llm import language, mixing, simhash, topk
 
 
 def queries() -> dict:
-    return {"op2_mix_sources": mixing.op2, "op5_simhash_near_dedup": simhash.op5}
+    return {
+        "op2_mix_sources": mixing.op2,
+        "op5_simhash_near_dedup": simhash.op5,
+        "op9_exact_top_k": topk.op9,
+        "op10_language_id": language.op10,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op2_mix_sources": mixing.ORACLE}
+    return {
+        "op2_mix_sources": mixing.ORACLE,
+        "op9_exact_top_k": topk.ORACLE,
+    }
