@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import language, mixing, mpeg, simhash, topk
+from glyphmill.llm import bpe, language, mixing, mpeg, simhash, topk
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.op2,
+        "op4_bpe_encoding": bpe.op4,
         "op5_simhash_near_dedup": simhash.op5,
         "op7_mpeg_audio": mpeg.op7,
         "op9_exact_top_k": topk.op9,
