@@ -79,23 +79,38 @@ def small_slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4 <<
 LONGEST_TRAINING_TEXT = 200_000
 
 
-def class_sample(rows: DataFrame, per_class: int, salt: str, most_classes: int = 64) -> list[tuple[str, object]]:
-    """At most ``per_class`` (text, label) pairs of each of the most frequent labels.
+def class_sample(rows: DataFrame, per_class: int, salt: str, most_classes: int = 64) -> DataFrame:
+    """At most ``per_class`` rows of each of the most frequent labels, none held out.
 
-    ``rows`` has doc_id, text and label; nulls and held-out rows are left out. Rows are taken by
+    ``rows`` has doc_id and label and may have more; null labels are left out. Rows are taken by
     the smallest hashes of their ids, so the sample does not depend on order or partitions. A
     hash threshold leaves about twice the sample of each class before anything is ranked.
     """
-    usable = rows.where(~held_out(F.col("doc_id")) & F.col("label").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST_TRAINING_TEXT))
+    usable = rows.where(~held_out(F.col("doc_id")) & F.col("label").isNotNull())
     counted = usable.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(most_classes).collect()
-    if not counted:
-        return []
     scale = 1 << 30
     within = F.lit(False)
     for found in counted:
         share = min(1.0, (2 * per_class + 50) / found["count"])
         within = within | ((F.col("label") == F.lit(found["label"])) & (F.col("h") <= int(share * scale)))
     hashed = usable.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(scale))).where(within)
-    order = Window.partitionBy("label").orderBy("h", "doc_id", "text")
-    ranked = hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class)
-    return sorted(((r["text"], r["label"]) for r in ranked.select("text", "label").collect()), key=lambda r: (str(r[1]), r[0]))
+    order = Window.partitionBy("label").orderBy("h", "doc_id")
+    return hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).drop("h", "place")
+
+
+def texts_and_labels(rows: DataFrame) -> list[tuple[str, object]]:
+    """The (text, label) pairs of a bounded sample, in an order of their own."""
+    usable = rows.where(F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST_TRAINING_TEXT))
+    return sorted(((r["text"], r["label"]) for r in usable.select("text", "label").collect()), key=lambda r: (str(r[1]), r[0]))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int) -> list[tuple[str, int]]:
+    """A bounded sample of (text, label): labelled ids are sampled first and sent to the texts.
+
+    At most 2 * ``per_class`` ids are broadcast. Labels of unknown or null ids and null labels
+    are left out.
+    """
+    marked = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null")
+    picked = class_sample(marked, per_class, label_col, 2).withColumnRenamed("doc_id", "labelled_id")
+    texts = docs.select("doc_id", "text")
+    return texts_and_labels(texts.join(F.broadcast(picked), texts.doc_id == picked.labelled_id))

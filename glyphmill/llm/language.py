@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import class_sample, held_out, small_slices, table, text_column
+from glyphmill.llm.common import class_sample, held_out, small_slices, table, text_column, texts_and_labels
 
 UNKNOWN = "und"
 #: Training texts of each language, at most, taken by the smallest id hashes.
@@ -105,7 +105,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """A bounded sample of (text, lang) rows, none held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
-    return class_sample(rows, SAMPLE_PER_LANGUAGE, "language", MAX_LANGUAGES)
+    return texts_and_labels(class_sample(rows.where("text is not null"), SAMPLE_PER_LANGUAGE, "language", MAX_LANGUAGES))
 
 
 class Scorer:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import bpe, language, mixing, mpeg, simhash, topk
+from glyphmill.llm import bpe, language, mixing, mpeg, quality, simhash, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": quality.op1,
         "op2_mix_sources": mixing.op2,
         "op4_bpe_encoding": bpe.op4,
         "op5_simhash_near_dedup": simhash.op5,
         "op7_mpeg_audio": mpeg.op7,
+        "op8_toxicity": toxicity.op8,
         "op9_exact_top_k": topk.op9,
         "op10_language_id": language.op10,
     }
