@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import bpe, language, mixing, mpeg, quality, simhash, topk, toxicity
+from glyphmill.llm import bpe, language, mixing, mpeg, quality, simhash, suffixes, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality.op1,
         "op2_mix_sources": mixing.op2,
+        "op3_suffix_dedup": suffixes.op3,
         "op4_bpe_encoding": bpe.op4,
         "op5_simhash_near_dedup": simhash.op5,
         "op7_mpeg_audio": mpeg.op7,
