@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import byte_view, partitions_for, small_slices, table, text_column
@@ -392,11 +392,6 @@ def covered(marks_begin: list[bytes], marks_count: list[bytes], n: int, depth: i
     return np.cumsum(edge[:-1]) > 0
 
 
-def _same(*pairs: tuple[Column, Column]) -> Column:
-    """All pairs equal, in a form that is no join key: the join then uses the shuffle by document alone."""
-    return sum((F.coalesce((a == b).cast("int"), F.lit(0)) for a, b in pairs), F.lit(0)) == len(pairs)
-
-
 def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with columns _doc, _t, _first, _begins, _counts: what of each text repeats.
 
@@ -436,9 +431,10 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = grouped.join(by_text, "t", "left").where("codes is not null or texts > 1")
     wanted = wanted.select(F.explode("docs").alias("w_doc"), F.col("t").alias("w_t"), F.coalesce("codes", F.array().cast("array<binary>")).alias("w_codes"), (F.col("texts") > 1).alias("w_all"))
 
+    # Both joins read one shuffle of the texts: their sides of it are the same plan.
     columns = docs.columns
-    keyed = docs.withColumn("_doc", key).withColumn("_t", F.xxhash64(text)).repartition(groups, "_doc")
-    asked = keyed.join(wanted, (F.col("_doc") == F.col("w_doc")) & _same((F.col("_t"), F.col("w_t"))))
+    keyed = docs.withColumn("_doc", key).withColumn("_t", F.xxhash64(text)).repartition(groups, "_doc", "_t")
+    asked = keyed.join(wanted, (F.col("_doc") == F.col("w_doc")) & (F.col("_t") == F.col("w_t")))
     text_at = columns.index(text_col)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,7 +464,7 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     settled = asked.mapInArrow(strings, _STRING_ROWS).groupBy("grp").applyInArrow(lambda rows: _settle(rows, depth), "doc long, t long, begins binary, counts binary")
     marks = settled.groupBy("doc", "t").agg(F.collect_list("begins").alias("_begins"), F.collect_list("counts").alias("_counts"))
     first = firsts.select(F.col("doc").alias("_first"), F.col("t").alias("f_t")).distinct().join(marks, (F.col("_first") == F.col("doc")) & (F.col("f_t") == F.col("t")), "left").select("_first", "f_t", "_begins", "_counts")
-    return keyed.join(first, (F.col("_doc") == F.col("_first")) & _same((F.col("_t"), F.col("f_t"))), "left").drop("f_t")
+    return keyed.join(first, (F.col("_doc") == F.col("_first")) & (F.col("_t") == F.col("f_t")), "left").drop("f_t")
 
 
 def _mask(raw: bytes, first: object, begins: list | None, counts: list | None, depth: int) -> np.ndarray:
