@@ -46,10 +46,12 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
+def text_column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     """A column of texts as one large_string array (64-bit offsets)."""
-    column = batch.column(batch.schema.get_field_index(name))
-    return column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_string())
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
+    return column
 
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import bpe, language, mixing, mpeg, quality, simhash, suffixes, topk, toxicity
+from glyphmill.llm import bpe, language, lm, mixing, mpeg, quality, simhash, suffixes, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_suffix_dedup": suffixes.op3,
         "op4_bpe_encoding": bpe.op4,
         "op5_simhash_near_dedup": simhash.op5,
+        "op6_lm_backoff": lm.op6,
         "op7_mpeg_audio": mpeg.op7,
         "op8_toxicity": toxicity.op8,
         "op9_exact_top_k": topk.op9,
@@ -22,5 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_mix_sources": mixing.ORACLE,
+        "op6_lm_backoff": lm.ORACLE,
         "op9_exact_top_k": topk.ORACLE,
     }
