@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from glyphmill.llm import bpe, language, lm, mixing, mpeg, quality, simhash, suffixes, topk, toxicity
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_exact_top_k": topk.op9,
         "op10_language_id": language.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 

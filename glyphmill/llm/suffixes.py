@@ -514,14 +514,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every row stays, with an empty text where all of it repeats; a null text stays null.
     """
-    columns = docs.columns
+    columns, plain = docs.columns, [f"c{k}" for k in range(len(docs.columns))]
     text_at, count_at = columns.index(text_col), columns.index(count_col) if count_col in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, text_col):
+        for batch in small_slices(batches, plain[text_at]):
             firsts, begins, counts = (batch.column(len(columns) + k).to_pylist() for k in range(3))
             texts: list[str | None] = []
-            for k, text in enumerate(text_column(batch, text_col).to_pylist()):
+            for k, text in enumerate(text_column(batch, plain[text_at]).to_pylist()):
                 raw = None if text is None else text.encode()
                 texts.append(raw if raw is None else kept_text(raw, _mask(raw, firsts[k], begins[k], counts[k], depth)))
             arrays = list(batch.columns[: len(columns)])
@@ -530,8 +530,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 arrays[count_at] = pa.array([None if t is None else len(t) for t in texts], arrays[count_at].type)
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    marked = with_marks(docs, id_col, text_col, depth)
-    return marked.select(*columns, "_first", "_begins", "_counts").mapInArrow(run, docs.schema)
+    # Plain names, so that no column of the input meets one of the operator's own.
+    marked = with_marks(docs.toDF(*plain), plain[columns.index(id_col)], plain[text_at], depth)
+    return marked.select(*plain, "_first", "_begins", "_counts").mapInArrow(run, docs.schema)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
