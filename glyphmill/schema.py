@@ -28,7 +28,7 @@ def _struct(text: str) -> T.StructType:
     return out
 
 
-_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "timestamp": T.TimestampType(), "vector": T.ArrayType(T.FloatType(), False)}
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "timestamp": T.TimestampType(), "vector": T.ArrayType(T.FloatType())}
 
 CODE_UNITS = _struct(
     "rowid long, id string, repo_id string, branch string, file_path string, name string, kind string, signature string, doc string?, content string, "
