@@ -431,9 +431,10 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = grouped.join(by_text, "t", "left").where("codes is not null or texts > 1")
     wanted = wanted.select(F.explode("docs").alias("w_doc"), F.col("t").alias("w_t"), F.coalesce("codes", F.array().cast("array<binary>")).alias("w_codes"), (F.col("texts") > 1).alias("w_all"))
 
-    # Both joins read one shuffle of the texts: their sides of it are the same plan.
+    # Both joins read one shuffle of the texts: their sides of it are the same plan, with the number of
+    # partitions that joins ask for themselves (with another one, the second join deals the texts anew).
     columns = docs.columns
-    keyed = docs.withColumn("_doc", key).withColumn("_t", F.xxhash64(text)).repartition(groups, "_doc", "_t")
+    keyed = docs.withColumn("_doc", key).withColumn("_t", F.xxhash64(text)).repartition(partitions_for(spark), "_doc", "_t")
     asked = keyed.join(wanted, (F.col("_doc") == F.col("w_doc")) & (F.col("_t") == F.col("w_t")))
     text_at = columns.index(text_col)
 
