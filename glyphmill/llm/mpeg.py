@@ -165,22 +165,27 @@ def read_table(frame: bytes, header: Header) -> dict | None:
 
 
 def parse(data: bytes) -> Stream:
-    """Parse any byte string; never raises. A header counts if the next one follows it, or the audio ends."""
+    """Parse any byte string; never raises.
+
+    A header counts if the next one follows its frame or the audio ends there, or if it follows a
+    frame itself and is of the same version, layer, rate and channels.
+    """
     out = Stream()
     out.tags, at, end = read_tags(data)
 
     def header_at(i: int) -> Header | None:
         return read_header(int.from_bytes(data[i : i + 4], "big")) if i + 4 <= end else None
 
-    synced, first = False, True
+    last, first = None, True
+    kind = lambda h: (h.version, h.layer, h.sample_rate, h.channels)
     while at + 4 <= end:
         header = header_at(at)
         after = at + header.length if header else 0
-        if header is None or after > end or not synced and after + 4 <= end and header_at(after) is None:
+        if header is None or after > end or after + 4 <= end and header_at(after) is None and (last is None or kind(last) != kind(header)):
             found = data.find(b"\xff", at + 1, end)
             to = end if found < 0 else found
             out.skipped += to - at
-            at, synced = to, False
+            at, last = to, None
             continue
         if header.protected:
             out.checked += 1
@@ -193,7 +198,7 @@ def parse(data: bytes) -> Stream:
         else:
             out.starts.append(at)
             out.headers.append(header)
-        at, synced, first = after, True, False
+        at, last, first = after, header, False
     out.skipped += max(0, end - at) if at < end else 0
     return out
 

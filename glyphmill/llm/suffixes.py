@@ -157,7 +157,22 @@ def _ints(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.int32)
 
 
-def _by_text(texts: np.ndarray, codes: np.ndarray) -> pa.Table:
+def _dealt(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+    """Arrays cut by part: one row for each part that has anything, with its share of each array as bytes."""
+    order = np.argsort(part, kind="stable")
+    first, size = _lengths(part[order])
+    cuts = list(zip(first.tolist(), (first + size).tolist(), strict=True))
+    packed = {n: pa.array([v[order[a:b]].tobytes() for a, b in cuts], pa.binary()) for n, v in columns.items()}
+    return pa.table({"part": pa.array(part[order][first], pa.int32()), **packed})
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (_mixed(keys.astype(np.int64).view(np.uint64)) % _U(parts)).astype(np.int64)
+
+
+def _codes_of_texts(rows: pa.Table) -> pa.Table:
+    """The anchors of each text of a part, from all groups."""
+    texts, codes = (np.concatenate([_longs(r) for r in rows.column(n).to_pylist()]) for n in ("texts", "codes"))
     order = np.argsort(texts, kind="stable")
     texts, codes = texts[order], codes[order]
     first, size = _lengths(texts)
@@ -165,8 +180,25 @@ def _by_text(texts: np.ndarray, codes: np.ndarray) -> pa.Table:
     return pa.table({"t": pa.array(texts[first]), "codes": raw})
 
 
-def _repeated_anchors(rows: pa.Table, groups: int) -> pa.Table:
-    """The anchors of one group that at least two texts have, by text."""
+def _marks_of_docs(rows: pa.Table) -> pa.Table:
+    """The settled runs of each document of a part, from all groups."""
+    docs, texts, begins, counts = (np.concatenate([_longs(r) for r in rows.column(n).to_pylist()]) for n in ("docs", "texts", "begins", "counts"))
+    order = np.lexsort((begins, texts, docs))
+    docs, texts, begins, counts = docs[order], texts[order], begins[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1]))))
+    cuts = list(zip(first.tolist(), np.append(first[1:], len(docs)).tolist(), strict=True))
+    return pa.table(
+        {
+            "doc": pa.array(docs[first]),
+            "t": pa.array(texts[first]),
+            "_begins": pa.array([begins[a:b].tobytes() for a, b in cuts], pa.binary()),
+            "_counts": pa.array([counts[a:b].astype(np.int32).tobytes() for a, b in cuts], pa.binary()),
+        }
+    )
+
+
+def _repeated_anchors(rows: pa.Table, groups: int, parts: int) -> pa.Table:
+    """The anchors of one group that at least two texts have, dealt by text."""
     columns = {n: rows.column(n).to_pylist() for n in _ANCHOR_NAMES}
     tags = np.concatenate([_unpack(r) for r in columns["tags"]])
     texts = np.concatenate([np.repeat(_longs(t), _ints(c)) for t, c in zip(columns["texts"], columns["counts"], strict=True)])
@@ -183,7 +215,8 @@ def _repeated_anchors(rows: pa.Table, groups: int) -> pa.Table:
     codes = tags[kept] * groups + columns["grp"][0]
     done_texts = np.concatenate([np.repeat(_longs(t), _ints(c)) for t, c in zip(columns["done_texts"], columns["done_counts"], strict=True)])
     done = np.concatenate([_longs(r) for r in columns["done"]])
-    return _by_text(np.concatenate((texts[kept], done_texts)), np.concatenate((codes, done)))
+    found = np.concatenate((texts[kept], done_texts))
+    return _dealt(_part(found, parts), {"texts": found, "codes": np.concatenate((codes, done))})
 
 
 _STRING_ROWS = "grp int, data binary, lengths binary, ids binary, texts binary, codes binary, places binary, n_at binary, at binary, done_ids binary, done_texts binary, done_at binary, done_n binary"
@@ -293,32 +326,22 @@ def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np.nd
 
 
 class _Marks:
-    """Settled suffixes by document: (begin, count) of runs."""
+    """Settled suffixes: document, text, begin and count of runs."""
 
     def __init__(self):
-        self.of: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        self.rows: list[tuple[int, int, int, int]] = []
 
     def add(self, doc: int, text: int, at: int, count: int) -> None:
-        held = self.of.get((doc, text))
-        if held is None:
-            held = self.of[(doc, text)] = ([], [])
-        held[0].append(at)
-        held[1].append(count)
-
-    def table(self) -> pa.Table:
-        keys = sorted(self.of)
-        return pa.table(
-            {
-                "doc": pa.array([k[0] for k in keys], pa.int64()),
-                "t": pa.array([k[1] for k in keys], pa.int64()),
-                "begins": pa.array([np.array(self.of[k][0], np.int64).tobytes() for k in keys], pa.binary()),
-                "counts": pa.array([np.array(self.of[k][1], np.int32).tobytes() for k in keys], pa.binary()),
-            }
-        )
-
-
-def _settle(rows: pa.Table, depth: int) -> pa.Table:
-    """The repeated suffixes of one group that a smaller document has too."""
+        self.rows.append((doc, text, at, count))
+
+    def table(self, parts: int) -> pa.Table:
+        found = np.array(self.rows, np.int64).reshape(-1, 4)
+        found = found[np.lexsort((found[:, 2], found[:, 0]))]
+        return _dealt(_part(found[:, 0], parts), {n: np.ascontiguousarray(found[:, k]) for k, n in enumerate(("docs", "texts", "begins", "counts"))})
+
+
+def _settle(rows: pa.Table, depth: int, parts: int) -> pa.Table:
+    """The repeated suffixes of one group that a smaller document has too, dealt by document."""
     columns = {n: rows.column(n).to_pylist() for n in _STRING_NAMES}
     join = lambda name, kind: np.concatenate([np.frombuffer(r, kind) for r in columns[name]])
     lengths, ids, texts, codes = join("lengths", np.int32), join("ids", np.int64), join("texts", np.int64), join("codes", np.int64)
@@ -357,7 +380,7 @@ def _settle(rows: pa.Table, depth: int) -> pa.Table:
                 begun = total[stop - 1]
         for a, b in zip(cuts, cuts[1:], strict=False):
             _settle_crowd(crowded[a:b], raw, one, ends, lengths, places, code, smallest, holders, ids, texts, at, at_ends, n_at, depth, marks)
-    return marks.table()
+    return marks.table(parts)
 
 
 def _settle_crowd(some, raw, one, ends, lengths, places, code, smallest, holders, ids, texts, at, at_ends, n_at, depth, marks) -> None:
@@ -382,11 +405,10 @@ def _settle_crowd(some, raw, one, ends, lengths, places, code, smallest, holders
                 marks.add(int(ids[e]), int(texts[e]), p + int(step[a]), n)
 
 
-def covered(marks_begin: list[bytes], marks_count: list[bytes], n: int, depth: int = DEPTH) -> np.ndarray:
+def covered(begins: bytes, counts: bytes, n: int, depth: int = DEPTH) -> np.ndarray:
     """A mask of the bytes that marked suffixes cover."""
     edge = np.zeros(n + 1, np.int32)
-    begin = np.concatenate([_longs(b) for b in marks_begin])
-    count = np.concatenate([_ints(c) for c in marks_count])
+    begin, count = _longs(begins), _ints(counts)
     np.add.at(edge, begin, 1)
     np.add.at(edge, begin + count + depth - 1, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -402,7 +424,8 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    groups = max(partitions_for(spark), -(-total // GROUP_BYTES))
+    parts = partitions_for(spark)
+    groups = max(parts, -(-total // GROUP_BYTES))
     narrow = docs.select(key.alias("doc"), text.alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,18 +446,18 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield from _anchor_rows(np.concatenate(texts), np.concatenate(hashes), groups)
 
     hashed = narrow.select(F.xxhash64("text").alias("t"), "text")
-    repeated = hashed.mapInArrow(anchors, _ANCHOR_ROWS).groupBy("grp").applyInArrow(lambda rows: _repeated_anchors(rows, groups), "t long, codes binary")
-    by_text = repeated.groupBy("t").agg(F.collect_list("codes").alias("codes"))
+    repeated = hashed.mapInArrow(anchors, _ANCHOR_ROWS).groupBy("grp").applyInArrow(lambda rows: _repeated_anchors(rows, groups, parts), "part int, texts binary, codes binary")
+    by_text = repeated.groupBy("part").applyInArrow(_codes_of_texts, "t long, codes binary")
     # The smallest document of each text; texts of equal hash but different digests are taken whole.
     firsts = narrow.select(F.xxhash64("text").alias("t"), F.unhex(F.sha2("text", 256)).alias("digest"), "doc").groupBy("t", "digest").agg(F.min("doc").alias("doc"))
     grouped = firsts.groupBy("t").agg(F.collect_set("doc").alias("docs"), F.count(F.lit(1)).alias("texts"))
     wanted = grouped.join(by_text, "t", "left").where("codes is not null or texts > 1")
-    wanted = wanted.select(F.explode("docs").alias("w_doc"), F.col("t").alias("w_t"), F.coalesce("codes", F.array().cast("array<binary>")).alias("w_codes"), (F.col("texts") > 1).alias("w_all"))
+    wanted = wanted.select(F.explode("docs").alias("w_doc"), F.col("t").alias("w_t"), F.col("codes").alias("w_codes"), (F.col("texts") > 1).alias("w_all"))
 
     # Both joins read one shuffle of the texts: their sides of it are the same plan, with the number of
     # partitions that joins ask for themselves (with another one, the second join deals the texts anew).
     columns = docs.columns
-    keyed = docs.withColumn("_doc", key).withColumn("_t", F.xxhash64(text)).repartition(partitions_for(spark), "_doc", "_t")
+    keyed = docs.withColumn("_doc", key).withColumn("_t", F.xxhash64(text)).repartition(parts, "_doc", "_t")
     asked = keyed.join(wanted, (F.col("_doc") == F.col("w_doc")) & (F.col("_t") == F.col("w_t")))
     text_at = columns.index(text_col)
 
@@ -447,7 +470,7 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             data, offsets = byte_view(text_column(batch, names[text_at]))
             raw = data.tobytes()
             salt = lambda codes, text: _mixed(codes.view(np.uint64) + text.astype(np.uint64) * _FACTOR[0])
-            known = np.sort(np.concatenate([np.zeros(0, np.uint64), *[salt(_longs(b"".join(c)), np.full(sum(map(len, c)) // 8, k)) for k, c in enumerate(lists) if c]]))
+            known = np.sort(np.concatenate([np.zeros(0, np.uint64), *[salt(_longs(c), np.full(len(c) // 8, k)) for k, c in enumerate(lists) if c]]))
             for of, begin, count, place, found in runs(data, offsets, depth, anchor):
                 group, tag = _codes(found, groups)
                 code = tag * groups + group
@@ -462,13 +485,13 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield from held.rows()
         yield from held.rows()
 
-    settled = asked.mapInArrow(strings, _STRING_ROWS).groupBy("grp").applyInArrow(lambda rows: _settle(rows, depth), "doc long, t long, begins binary, counts binary")
-    marks = settled.groupBy("doc", "t").agg(F.collect_list("begins").alias("_begins"), F.collect_list("counts").alias("_counts"))
+    settled = asked.mapInArrow(strings, _STRING_ROWS).groupBy("grp").applyInArrow(lambda rows: _settle(rows, depth, parts), "part int, docs binary, texts binary, begins binary, counts binary")
+    marks = settled.groupBy("part").applyInArrow(_marks_of_docs, "doc long, t long, _begins binary, _counts binary")
     first = firsts.select(F.col("doc").alias("_first"), F.col("t").alias("f_t")).distinct().join(marks, (F.col("_first") == F.col("doc")) & (F.col("f_t") == F.col("t")), "left").select("_first", "f_t", "_begins", "_counts")
     return keyed.join(first, (F.col("_doc") == F.col("_first")) & (F.col("_t") == F.col("f_t")), "left").drop("f_t")
 
 
-def _mask(raw: bytes, first: object, begins: list | None, counts: list | None, depth: int) -> np.ndarray:
+def _mask(raw: bytes, first: object, begins: bytes | None, counts: bytes | None, depth: int) -> np.ndarray:
     if first is None:
         return np.full(len(raw), len(raw) >= depth)
     return covered(begins, counts, len(raw), depth) if begins else np.zeros(len(raw), bool)
