@@ -133,7 +133,7 @@ def sql_bm25(queries: list[tuple[int, str]], weights: dict[str, float]) -> str:
   SELECT *, CASE WHEN ln((n_docs - n_rows + 0.5::DOUBLE) / (n_rows + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n_docs - n_rows + 0.5::DOUBLE) / (n_rows + 0.5::DOUBLE)) END
     * freq * (1.2::DOUBLE + 1) / (freq + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * n_tok / avg_len)) AS part FROM counted, stats
 ), scored AS (
-  SELECT query_id, rowid, round(-sum(part), 6) AS bm25 FROM parts GROUP BY query_id, rowid, n_phrases HAVING count(*) = n_phrases
+  SELECT query_id, rowid, round(-sum(part), 10) AS bm25 FROM parts GROUP BY query_id, rowid, n_phrases HAVING count(*) = n_phrases
 )"""
 
 
@@ -142,7 +142,7 @@ def _sql_top(source: str, order: str, k: int) -> str:
 
 
 def _fts_sql(units: str, queries: list[tuple[int, str]], weights: dict[str, float], k: int, where: str = "true") -> str:
-    return f"WITH {units}, {sql_bm25(queries, weights)}, hits AS (SELECT s.* FROM scored s JOIN units u USING (rowid) WHERE {where})\nSELECT query_id::BIGINT AS query_id, rowid, bm25, rk FROM ({_sql_top('hits', 'bm25, rowid', k)})"
+    return f"WITH {units}, {sql_bm25(queries, weights)}, hits AS (SELECT s.* FROM scored s JOIN units u USING (rowid) WHERE {where})\nSELECT query_id::BIGINT AS query_id, rowid, round(bm25, 6) AS bm25, rk FROM ({_sql_top('hits', 'bm25, rowid', k)})"
 
 
 def _sql_cosine(a: str, b: str) -> str:
@@ -298,8 +298,12 @@ def _q_per_label(spark, sf):
     return scored.withColumn("rk", F.row_number().over(order)).where("rk <= 3")
 
 
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("bm25", F.round("bm25", 6))
+
+
 def _q_fts_scores(spark, sf):
-    hits = lexical.search_fts(units_docs(spark, sf), QUERIES, 20, weights=CONTENT)
+    hits = _rounded(lexical.search_fts(units_docs(spark, sf), QUERIES, 20, weights=CONTENT))
     return hits.select("query_id", "rowid", F.round(lexical.fts_score(F.col("bm25")), 6).alias("score"), F.round(lexical.reference_fts_score(F.col("bm25")), 6).alias("reference_score"))
 
 
@@ -420,14 +424,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _entries() -> dict[str, tuple[Query, str | None]]:
-    docs_fts = lambda queries, where=None, weights=CONTENT, k=10: lambda s, sf: lexical.search_fts(units_docs(s, sf), queries, k, F.expr(where) if where else None, weights)
+    docs_fts = lambda queries, where=None, weights=CONTENT, k=10: lambda s, sf: _rounded(lexical.search_fts(units_docs(s, sf), queries, k, F.expr(where) if where else None, weights))
     one, both, phrase = [(1, "hation")], [(2, "the hation")], [(3, "of_the")]
     return {
         "bm25_single_term_topk": (docs_fts(one), _fts_sql(SQL_DOCS, one, CONTENT, 10)),
         "bm25_multi_term_and": (docs_fts(both), _fts_sql(SQL_DOCS, both, CONTENT, 10)),
         "bm25_phrase": (docs_fts(phrase), _fts_sql(SQL_DOCS, phrase, CONTENT, 10)),
         "bm25_batch": (docs_fts(QUERIES), _fts_sql(SQL_DOCS, QUERIES, CONTENT, 10)),
-        "bm25_weighted_fields": (lambda s, sf: lexical.search_fts(units_pages(s, sf), QUERIES, 10), _fts_sql(SQL_PAGES, QUERIES, FIELD_WEIGHTS, 10)),
+        "bm25_weighted_fields": (lambda s, sf: _rounded(lexical.search_fts(units_pages(s, sf), QUERIES, 10)), _fts_sql(SQL_PAGES, QUERIES, FIELD_WEIGHTS, 10)),
         "bm25_branch_filter_global_stats": (docs_fts([(5, "entre des")], "branch = 'fr'"), _fts_sql(SQL_DOCS, [(5, "entre des")], CONTENT, 10, "branch = 'fr'")),
         "fts_score_normalize": (_q_fts_scores, f"SELECT query_id, rowid, round(abs(bm25) / (1 + abs(bm25)), 6) AS score, round(1 / (1 + abs(bm25)), 6) AS reference_score FROM ({_fts_sql(SQL_DOCS, QUERIES, CONTENT, 20)})"),
         "corpus_stats": (

@@ -6,8 +6,10 @@ import re
 
 from glyphmill.functions.extract.source import Source, Unit, blank
 
-_START = re.compile(r"//|/\*|[\"'`]|(?<![\w$)\]}])\s*/(?![/*=])")
+_START = re.compile(r"//|/\*|[\"'`]|/")
+_BEFORE_REGEX = re.compile(r"(?:^|[^\w$)\]}\s]|\b(?:return|typeof|case|yield|await|in|of|delete|void|throw|new|else|do))\s*$")
 _REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+_QUOTED = {q: re.compile(rf"{q}(?:\\.|[^{q}\\\n])*{q}?", re.S) for q in "\"'"}
 _EXPORT = re.compile(r"\bexport\s+(?:default\s+)?(?P<unit>(?:async\s+)?(?P<word>interface|type|function|class)\s+(?P<name>[A-Za-z_$][\w$]*))")
 _MEMBER = re.compile(r"(?:(?:public|private|protected|static|async|override|readonly|get|set|declare|abstract|accessor)\s+)*\*?\s*(?P<name>\#?[A-Za-z_$][\w$]*|\[[^\]]*\])\??\s*(?=[(<])")
 
@@ -26,6 +28,9 @@ def _template(text: str, at: int) -> int:
                 if text[at] == "`":
                     at = _template(text, at)
                     continue
+                if text[at] in "\"'":
+                    at = _QUOTED[text[at]].match(text, at).end()
+                    continue
                 depth += (text[at] == "{") - (text[at] == "}")
                 at += 1
         else:
@@ -36,7 +41,7 @@ def _template(text: str, at: int) -> int:
 def _blanked(text: str) -> str:
     out, at = [], 0
     while match := _START.search(text, at):
-        begin, mark = match.start(), match[0].strip()
+        begin, mark = match.start(), match[0]
         if mark == "//":
             end = text.find("\n", begin)
             end = len(text) if end < 0 else end
@@ -46,16 +51,14 @@ def _blanked(text: str) -> str:
         elif mark == "`":
             end = _template(text, begin)
         elif mark == "/":
-            begin = match.end() - 1
-            found = _REGEX.match(text, begin)
+            found = _REGEX.match(text, begin) if _BEFORE_REGEX.search(text[max(0, begin - 200) : begin]) else None
             end = found.end() if found else begin + 1
             if not found:
                 out.append(text[at:end])
                 at = end
                 continue
         else:
-            found = re.compile(rf"{mark}(?:\\.|[^{mark}\\\n])*{mark}?", re.S).match(text, begin)
-            end = found.end()
+            end = _QUOTED[mark].match(text, begin).end()
         out += [text[at:begin], blank(text[begin:end], ["."])]
         at = end
     return "".join([*out, text[at:]])

@@ -14,6 +14,8 @@ from glyphmill.functions.text import query_phrases, tokens
 from glyphmill.schema import FIELD_WEIGHTS
 
 K1, B = 1.2, 0.75
+#: Decimal places of scores, so that equal scores are ties however their sums were ordered.
+PLACES = 10
 #: Query terms up to this number are sent to every task.
 BROADCAST_TERMS = 50_000
 TERM_ROWS = "query_id long, phrase_id int, offset int, token string, n_tokens int, n_phrases int"
@@ -121,10 +123,10 @@ def top_rows(scored: DataFrame, k: int, score: Column, ascending: bool = False,
 
 
 def search_fts(units: DataFrame, queries: list[tuple[int, str]], k: int, where: Column | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """query_id, rowid, bm25 (to 6 places) and rk of the k best rows of each query under ``where``."""
+    """query_id, rowid, bm25 (to PLACES) and rk of the k best rows of each query under ``where``."""
     tokenized = with_tokens(units, weights)
     terms = query_terms(units.sparkSession, queries)
-    scored = bm25(tokenized, terms, weights).withColumn("bm25", F.round("bm25", 6))
+    scored = bm25(tokenized, terms, weights).withColumn("bm25", F.round("bm25", PLACES))
     if where is not None:
         scored = scored.join(units.where(where).select("rowid"), "rowid", "left_semi")
     return top_rows(scored, k, F.col("bm25"), ascending=True).select("query_id", "rowid", "bm25", "rk")
