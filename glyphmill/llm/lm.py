@@ -170,8 +170,8 @@ def _score(docs: pa.Table, counted: pa.Table, parts: int, alpha: float, min_pair
         {
             "doc_id": batch.column("doc_id"),
             "n_words": pa.array(np.bincount(text, minlength=n).astype(np.int64)),
-            "logs": pa.array(np.bincount(text, value, n)),
-            "lower": pa.array(np.bincount(text, lower, n)),
+            "logs": pa.array(np.bincount(text, value, n).astype(np.float64)),
+            "lower": pa.array(np.bincount(text, lower, n).astype(np.float64)),
         }
     )
 
