@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import small_slices, table, text_column
+from glyphmill.llm.common import bounded_batches, small_slices, table, text_column
 
 #: The public pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -217,7 +217,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     The vocabulary file is read by the driver and sent to the tasks (a few MB). Other columns
     are ignored; an empty table gives no rows.
     """
-    spec = _spec(docs.sparkSession, path)
+    spec = _spec(bounded_batches(docs), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(spec.value)
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids and decoded (the text of the ids) for each row of doc_id and ids; null ids give an empty text."""
-    spec = _spec(encoded.sparkSession, path)
+    spec = _spec(bounded_batches(encoded), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(spec.value)

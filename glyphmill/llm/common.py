@@ -37,6 +37,19 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of one Arrow batch between the JVM and Python, at most: texts are long, and a task holds several batches.
+ARROW_BYTES = 16 << 20
+
+
+def bounded_batches(df: DataFrame) -> SparkSession:
+    """The frame's session, with its Arrow batches held to ARROW_BYTES (a lower setting stays)."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    if held is None or not held.rstrip("b").isdigit() or int(held.rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+    return spark
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose crc32(doc_id as text) leaves 0 modulo 5; they are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

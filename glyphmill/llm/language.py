@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import class_sample, held_out, small_slices, table, text_column, texts_and_labels
+from glyphmill.llm.common import bounded_batches, class_sample, held_out, small_slices, table, text_column, texts_and_labels
 
 UNKNOWN = "und"
 #: Training texts of each language, at most, taken by the smallest id hashes.
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     language could be learnt. Ties go to the language first in code point order. Other columns
     are ignored; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded_batches(docs).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)

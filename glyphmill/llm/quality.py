@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import byte_view, held_out, labelled_texts, small_slices, table, text_column
+from glyphmill.llm.common import bounded_batches, byte_view, held_out, labelled_texts, small_slices, table, text_column
 
 #: Labelled texts of each label that are broadcast as neighbours, at most.
 SAMPLE_PER_CLASS = 1000
@@ -128,7 +128,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     without a sample). Equal texts score alike. Other columns are ignored; an empty table gives
     no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded_batches(docs).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches, "text"):
@@ -140,7 +140,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores at least the threshold."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded_batches(docs).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches, text_col):

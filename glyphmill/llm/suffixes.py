@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import byte_view, partitions_for, small_slices, table, text_column
+from glyphmill.llm.common import bounded_batches, byte_view, partitions_for, small_slices, table, text_column
 
 DEPTH = 50
 ANCHOR = 24
@@ -33,9 +34,9 @@ _BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint6
 _FACTOR = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)]
 #: Text bytes aimed at for each group of suffixes.
 GROUP_BYTES = 16 << 20
-#: Anchors, and bytes of strings, that a task holds before it passes them on.
+#: Anchors, and bytes of strings with their objects, that a task holds before it passes them on.
 HELD_ANCHORS = 1_500_000
-HELD_BYTES = 8 << 20
+HELD_BYTES = 24 << 20
 _SORTED_AT_ONCE = 400_000
 
 
@@ -240,22 +241,23 @@ class _Strings:
         held = self.of.get(string)
         if held is None:
             self.of[string] = (string, doc, text, group, code, place, [at])
-            self.size += len(string) + 100
+            self.size += len(string) + 400
         elif held[1] == doc and held[2] == text:
             held[6].append(at)
         elif held[1] < doc:
             self.done.append((doc, text, at, count))
-            self.size += 40
+            self.size += 150
         elif held[1] > doc:
             self.done += [(held[1], held[2], p, count) for p in held[6]]
             self.of[string] = (string, doc, text, group, code, place, [at])
-            self.size += 40 * len(held[6])
+            self.size += 150 * len(held[6])
         else:
             self.twins.append((string, doc, text, group, code, place, [at]))
-            self.size += len(string) + 100
+            self.size += len(string) + 400
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        entries = sorted([*self.of.values(), *self.twins], key=lambda e: (e[3], e[1]))
+        packer = zstandard.ZstdCompressor(level=3)
+        entries = sorted([*self.of.values(), *self.twins], key=lambda e: (e[3], e[1], e[2], e[6][0]))
         done = np.array(self.done, np.int64).reshape(-1, 4)
         done_group = (_mixed(np.ascontiguousarray(done[:, 0]).view(np.uint64)) % _U(self.groups)).astype(np.int64)
         order = np.lexsort((done[:, 2], done[:, 0], done_group))
@@ -271,7 +273,7 @@ class _Strings:
             longs = lambda k: np.array([e[k] for e in part], np.int64).tobytes()  # noqa: E731, B023
             values = (
                 g,
-                b"".join(e[0] for e in part),
+                packer.compress(b"".join(e[0] for e in part)),
                 np.array([len(e[0]) for e in part], np.int32).tobytes(),
                 longs(1),
                 longs(2),
@@ -326,16 +328,18 @@ def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np.nd
 
 
 class _Marks:
-    """Settled suffixes: document, text, begin and count of runs."""
+    """Settled suffixes: document, text, begin and count of runs; those of ``passed`` were settled before."""
 
-    def __init__(self):
+    def __init__(self, *passed: np.ndarray):
+        self.passed = np.stack([p.astype(np.int64) for p in passed], axis=1)
         self.rows: list[tuple[int, int, int, int]] = []
 
     def add(self, doc: int, text: int, at: int, count: int) -> None:
         self.rows.append((doc, text, at, count))
 
     def table(self, parts: int) -> pa.Table:
-        found = np.array(self.rows, np.int64).reshape(-1, 4)
+        found = np.concatenate((self.passed, np.array(self.rows, np.int64).reshape(-1, 4)))
+        self.rows.clear()
         found = found[np.lexsort((found[:, 2], found[:, 0]))]
         return _dealt(_part(found[:, 0], parts), {n: np.ascontiguousarray(found[:, k]) for k, n in enumerate(("docs", "texts", "begins", "counts"))})
 
@@ -346,10 +350,9 @@ def _settle(rows: pa.Table, depth: int, parts: int) -> pa.Table:
     join = lambda name, kind: np.concatenate([np.frombuffer(r, kind) for r in columns[name]])
     lengths, ids, texts, codes = join("lengths", np.int32), join("ids", np.int64), join("texts", np.int64), join("codes", np.int64)
     places, n_at, at = join("places", np.int32), join("n_at", np.int32), join("at", np.int64)
-    marks = _Marks()
-    for d, t, p, n in zip(join("done_ids", np.int64).tolist(), join("done_texts", np.int64).tolist(), join("done_at", np.int64).tolist(), join("done_n", np.int32).tolist(), strict=True):
-        marks.add(d, t, p, n)
-    raw = b"".join(columns["data"])
+    marks = _Marks(join("done_ids", np.int64), join("done_texts", np.int64), join("done_at", np.int64), join("done_n", np.int32))
+    unpack = zstandard.ZstdDecompressor().decompress
+    raw = b"".join(map(unpack, columns["data"]))
     ends = np.cumsum(lengths.astype(np.int64))
     at_ends = np.cumsum(n_at.astype(np.int64))
     strings: dict[bytes, int] = {}
@@ -420,7 +423,7 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     _first is null where an equal text has a smaller id; otherwise _begins and _counts hold the
     runs of suffixes that a smaller document has too (null: none).
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import held_out, labelled_texts, small_slices, table, text_column
+from glyphmill.llm.common import bounded_batches, held_out, labelled_texts, small_slices, table, text_column
 
 #: Training texts of each label, at most.
 SAMPLE_PER_CLASS = 1500
@@ -130,7 +130,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     Null, empty and blank texts have the score of no words at all. Equal texts score alike.
     Other columns are ignored; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded_batches(docs).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = sent.value, {}
