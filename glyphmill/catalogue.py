@@ -435,7 +435,7 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
         "bm25_branch_filter_global_stats": (docs_fts([(5, "entre des")], "branch = 'fr'"), _fts_sql(SQL_DOCS, [(5, "entre des")], CONTENT, 10, "branch = 'fr'")),
         "fts_score_normalize": (_q_fts_scores, f"SELECT query_id, rowid, round(abs(bm25) / (1 + abs(bm25)), 6) AS score, round(1 / (1 + abs(bm25)), 6) AS reference_score FROM ({_fts_sql(SQL_DOCS, QUERIES, CONTENT, 20)})"),
         "corpus_stats": (
-            lambda s, sf: lexical.corpus_stats(lexical.with_tokens(units_docs(s, sf), CONTENT)).select("n_docs", "total_tokens", F.round("avg_len", 6).alias("avg_len")),
+            lambda s, sf: lexical.corpus_stats(units_docs(s, sf), CONTENT).select("n_docs", "total_tokens", F.round("avg_len", 6).alias("avg_len")),
             f"WITH {SQL_DOCS} SELECT count(*) AS n_docs, sum(len({_sql_tokens('content')}))::BIGINT AS total_tokens, round(avg(len({_sql_tokens('content')})), 6) AS avg_len FROM units",
         ),
         "term_document_frequency": (

@@ -27,8 +27,9 @@ _FOLD = str.maketrans(ACCENTED, BASES)
 
 
 def folded(text: Column) -> Column:
-    """Lower case without the diacritics of Latin letters."""
-    return F.translate(F.lower(text), ACCENTED, BASES)
+    """Lower case without the diacritics of Latin letters (texts in ASCII have none to look for)."""
+    low = F.lower(text)
+    return F.when(F.length(text) == F.octet_length(text), low).otherwise(F.translate(low, ACCENTED, BASES))
 
 
 def tokens(text: Column) -> Column:
@@ -36,6 +37,11 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
+def token_count(text: Column) -> Column:
+    """How many search tokens a text has; folding does not move their ends."""
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))
+
+
 def python_tokens(text: str) -> list[str]:
     """``tokens`` for query strings on the driver."""
     low = text.lower().translate(_FOLD)

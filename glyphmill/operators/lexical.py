@@ -1,7 +1,7 @@
 """Full-text search: postings, phrase matches, corpus statistics and weighted BM25.
 
-Only positions of tokens that some query asks for are exploded, so what is shuffled is the
-matches, not the corpus. A phrase of m tokens occurs where its m offsets meet at one start, so
+Tokens are filtered by what queries ask for in the task that splits the text, so what is
+shuffled is the matches, not the corpus. A phrase of m tokens occurs where its m offsets meet at one start, so
 one aggregation finds all phrases of all queries.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import query_phrases, tokens
+from glyphmill.functions.text import query_phrases, token_count, tokens
 from glyphmill.schema import FIELD_WEIGHTS
 
 K1, B = 1.2, 0.75
@@ -45,9 +45,10 @@ def postings(units: DataFrame, weights: dict[str, float] | None = None) -> DataF
     return flat.select("rowid", F.col("f.field").alias("field"), F.posexplode("f.found").alias("pos", "token"))
 
 
-def corpus_stats(tokenized: DataFrame) -> DataFrame:
-    """n_docs, total_tokens and avg_len over all rows of the index."""
-    return tokenized.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_tok"), F.lit(0)).cast("long").alias("total_tokens"), F.avg("n_tok").alias("avg_len"))
+def corpus_stats(units: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """n_docs, total_tokens and avg_len over all rows of the index; tokens are counted, not kept."""
+    lengths = units.select(sum((token_count(F.col(f)) for f in weights or FIELD_WEIGHTS), F.lit(0)).cast("long").alias("n_tok"))
+    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_tok"), F.lit(0)).cast("long").alias("total_tokens"), F.avg("n_tok").alias("avg_len"))
 
 
 def document_frequency(units: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -56,20 +57,14 @@ def document_frequency(units: DataFrame, weights: dict[str, float] | None = None
     return found.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_occurrences"))
 
 
-def _matched_positions(tokenized: DataFrame, wanted: list[str], weights: dict[str, float]) -> DataFrame:
-    """rowid, n_tok, weight, token, pos of the wanted tokens alone."""
-    listed = F.array(*[F.lit(w) for w in wanted]).cast("array<string>")
-
-    def matches(field: str) -> Column:
-        numbered = F.transform(F.col(f"tok_{field}"), lambda t, i: F.struct(t.alias("token"), i.alias("pos")))
-        return F.transform(F.filter(numbered, lambda x: F.array_contains(listed, x["token"])), lambda x: F.struct(F.lit(weights[field]).alias("weight"), F.lit(field).alias("field"), x["token"].alias("token"), x["pos"].alias("pos")))
-
-    every = F.concat(*[matches(f) for f in weights])
-    present = None
-    for field in weights:
-        here = F.arrays_overlap(F.col(f"tok_{field}"), listed)
-        present = here if present is None else present | here
-    return tokenized.where(present).select("rowid", "n_tok", F.explode(every).alias("m")).select("rowid", "n_tok", "m.*")
+def _positions(tokenized: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """rowid, n_tok, weight, field, pos, token of all tokens, within the tasks that hold the rows."""
+    if len(weights) == 1:
+        ((field, weight),) = weights.items()
+        return tokenized.select("rowid", "n_tok", F.lit(weight).alias("weight"), F.lit(field).alias("field"), F.posexplode(f"tok_{field}").alias("pos", "token"))
+    arrays = F.array(*[F.struct(F.lit(w).alias("weight"), F.lit(f).alias("field"), F.col(f"tok_{f}").alias("found")) for f, w in weights.items()])
+    flat = tokenized.select("rowid", "n_tok", F.explode(arrays).alias("f"))
+    return flat.select("rowid", "n_tok", "f.weight", "f.field", F.posexplode("f.found").alias("pos", "token"))
 
 
 def phrase_matches(tokenized: DataFrame, terms: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -78,11 +73,9 @@ def phrase_matches(tokenized: DataFrame, terms: DataFrame, weights: dict[str, fl
     listed = terms.select("token").distinct().limit(BROADCAST_TERMS + 1).collect()
     wanted = sorted(r["token"] for r in listed)
     if len(wanted) <= BROADCAST_TERMS:
-        joined = _matched_positions(tokenized, wanted, fields).join(F.broadcast(terms), "token")
+        joined = _positions(tokenized, fields).where(F.col("token").isin(wanted)).join(F.broadcast(terms), "token")
     else:
-        arrays = F.array(*[F.struct(F.lit(w).alias("weight"), F.lit(f).alias("field"), F.col(f"tok_{f}").alias("found")) for f, w in fields.items()])
-        flat = tokenized.select("rowid", "n_tok", F.explode(arrays).alias("f")).select("rowid", "n_tok", "f.weight", "f.field", F.posexplode("f.found").alias("pos", "token"))
-        joined = flat.join(terms, "token")
+        joined = _positions(tokenized, fields).join(terms, "token")
     starts = joined.groupBy("query_id", "phrase_id", "rowid", "n_tok", "field", "weight", "n_tokens", "n_phrases", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("met"))
     whole = starts.where(F.col("met") == F.col("n_tokens"))
     return whole.groupBy("query_id", "phrase_id", "rowid", "n_tok", "n_phrases").agg(F.sum("weight").alias("freq"))
@@ -96,7 +89,7 @@ def bm25(tokenized: DataFrame, terms: DataFrame, weights: dict[str, float] | Non
     """
     found = phrase_matches(tokenized, terms, weights)
     rows_with = Window.partitionBy("query_id", "phrase_id")
-    stats = corpus_stats(tokenized).select("n_docs", "avg_len")
+    stats = corpus_stats(tokenized, weights).select("n_docs", "avg_len")
     # One row of statistics, so the product is the matches themselves.
     scored = found.withColumn("n_rows", F.count(F.lit(1)).over(rows_with)).crossJoin(F.broadcast(stats))
     raw_idf = F.log((F.col("n_docs") - F.col("n_rows") + 0.5) / (F.col("n_rows") + 0.5))
