@@ -25,10 +25,10 @@ from glyphmill.llm.common import bounded_batches, small_slices, table, text_colu
 
 #: The public pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a task remembers with their ids, at most.
-REMEMBERED = 600_000
+#: Pieces that a task remembers with their ids, at most; a worker that is used again starts without them.
+REMEMBERED = 200_000
 #: Symbols that one pass over the ranks handles, at most (a longer piece comes alone).
-PASS_SYMBOLS = 1 << 21
+PASS_SYMBOLS = 1 << 20
 
 
 def vocabulary_path() -> str:
@@ -226,6 +226,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+        tokenizer.known.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
