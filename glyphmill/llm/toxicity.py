@@ -4,7 +4,9 @@ A word is the bag of its character n-grams (with its ends marked), each hashed t
 the mean of the bag goes through a linear softmax over the two labels. A document takes the
 smooth maximum of its distinct words' margins, so one word counts alike in short and long texts.
 Embeddings and softmax are trained jointly in numpy on whole documents. A misspelt word shares
-most n-grams, and so most of its vector, with the word it stands for.
+most n-grams, and so most of its vector, with the word it stands for. A run without white space
+that is too long for one word (prose of scripts without spaces, joined tokens) is scored by
+overlapping windows, each a word of its own.
 """
 
 from __future__ import annotations
@@ -26,18 +28,28 @@ DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 STEPS = 110
 SHARPNESS = 2.0
+#: Characters of a run that are one word; longer runs are windows of WINDOW characters, one every STRIDE (a term is diluted in a wider one).
+LONGEST_WORD, WINDOW, STRIDE = 60, 8, 4
 #: Word margins that a task remembers, at most.
 REMEMBERED = 500_000
 
 
 def words_of(text: str) -> set[str]:
-    return set(text.lower().split())
+    """The distinct words; a longer run gives windows that hold each of its characters."""
+    out = set()
+    for run in set(text.lower().split()):
+        if len(run) <= LONGEST_WORD:
+            out.add(run)
+        else:
+            out.update(run[at : at + WINDOW] for at in range(0, len(run) - WINDOW, STRIDE))
+            out.add(run[-WINDOW:])
+    return out
 
 
 def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram buckets of all words end to end, and the word that each belongs to."""
-    points = np.frombuffer("".join(f"<{w[:60]}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.array([min(len(w), 60) + 2 for w in words], np.int64)
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
     ends = np.repeat(np.cumsum(lengths), lengths)
     owner = np.repeat(np.arange(len(words)), lengths)
     buckets, owners = [], []

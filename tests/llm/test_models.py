@@ -52,6 +52,23 @@ def test_misspelt_words_score_alike():
     assert score("such a morron") > 0.5 > score("such a rivver") and score("quiet " * 500 + "moron") > 0.5
 
 
+@pytest.mark.parametrize("at", [0, 55, 61, 5_000, 9_990])
+def test_toxic_part_of_a_run_without_spaces(spark, at):
+    model = toxicity.train(TRAIN)
+    clean = ("theriverisquiettoday" * 500)[:9_995]
+    rows = [(1, clean), (2, clean[:at] + "moron" + clean[at:])]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] < 0.5 < got[2]
+
+
+@pytest.mark.parametrize("length", [1, 60, 61, 79, 80, 81, 1_000])
+def test_windows_hold_every_gram(length):
+    run = "".join(chr(0x4E00 + k) for k in range(length))
+    grams = {run[k : k + n] for n in toxicity.GRAMS for k in range(length - n + 1)}
+    words = toxicity.words_of(run)
+    assert all(any(g in w for w in words) for g in grams) and max(map(len, words)) <= 60 and len(toxicity.gram_buckets(sorted(words))[0])
+
+
 @pytest.mark.parametrize("make", [
     lambda docs: quality.score_quality(docs, quality.train([("a b c", 1), ("!! !! !!", 0)])), lambda docs: toxicity.score_toxicity(docs, toxicity.train(TRAIN)),
     lambda docs: language.identify(docs, language.train([("the dog and the fox", "en"), ("der Hund und der Fuchs", "de")])), lambda docs: quality.score_quality(docs, quality.train([])),
