@@ -94,21 +94,36 @@ def small_slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4 <<
 LONGEST_TRAINING_TEXT = 200_000
 
 
-def class_sample(rows: DataFrame, per_class: int, salt: str, most_classes: int = 64) -> DataFrame:
+#: Classes whose hash thresholds are spelt out in the plan, at most; more come by a join.
+SPELT_CLASSES = 64
+
+
+def class_sample(rows: DataFrame, per_class: int, salt: str, most_classes: int | None = 64, most_rows: int | None = None) -> DataFrame:
     """At most ``per_class`` rows of each of the most frequent labels, none held out.
 
+    ``most_classes`` None takes every label. With ``most_rows``, ``per_class`` shrinks as labels
+    grow, so that no more rows than that are taken, but never below one row a label.
     ``rows`` has doc_id and label and may have more; null labels are left out. Rows are taken by
     the smallest hashes of their ids, so the sample does not depend on order or partitions. A
     hash threshold leaves about twice the sample of each class before anything is ranked.
     """
     usable = rows.where(~held_out(F.col("doc_id")) & F.col("label").isNotNull())
-    counted = usable.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(most_classes).collect()
+    counts = usable.groupBy("label").count()
+    counted = (counts if most_classes is None else counts.orderBy(F.col("count").desc(), "label").limit(most_classes)).collect()
+    if most_rows is not None:
+        per_class = max(1, min(per_class, most_rows // max(len(counted), 1)))
     scale = 1 << 30
-    within = F.lit(False)
-    for found in counted:
-        share = min(1.0, (2 * per_class + 50) / found["count"])
-        within = within | ((F.col("label") == F.lit(found["label"])) & (F.col("h") <= int(share * scale)))
-    hashed = usable.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(scale))).where(within)
+    most = [(found["label"], int(min(1.0, (2 * per_class + 50) / found["count"]) * scale)) for found in counted]
+    hashed = usable.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(scale)))
+    if len(most) <= SPELT_CLASSES:
+        within = F.lit(False)
+        for label, h in most:
+            within = within | ((F.col("label") == F.lit(label)) & (F.col("h") <= h))
+        hashed = hashed.where(within)
+    else:
+        kind = rows.schema["label"].dataType.simpleString()
+        limits = rows.sparkSession.createDataFrame(most, f"label {kind}, most_h long")
+        hashed = hashed.join(F.broadcast(limits), "label").where("h <= most_h").drop("most_h").select(hashed.columns)
     order = Window.partitionBy("label").orderBy("h", "doc_id")
     return hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).drop("h", "place")
 

@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import bounded_batches, class_sample, held_out, small_slices, table, text_column, texts_and_labels
+from glyphmill.llm.common import LONGEST_TRAINING_TEXT, bounded_batches, class_sample, held_out, small_slices, table, text_column, texts_and_labels
 
 UNKNOWN = "und"
-#: Training texts of each language, at most, taken by the smallest id hashes.
-SAMPLE_PER_LANGUAGE = 800
-#: Languages learnt, at most: those with most training texts. It bounds the model that is sent out.
-MAX_LANGUAGES = 64
-#: Words and n-grams kept in the model, at most, most frequent first.
+#: Training texts of each language and of all, at most, taken by the smallest id hashes. Every
+#: language is learnt: with more of them each has fewer texts, but one at least.
+SAMPLE_PER_LANGUAGE, SAMPLE = 800, 51_200
+#: Words and n-grams kept in the model, at most; the languages' most frequent ones come in turn.
 MAX_WORDS, MAX_GRAMS = 200_000, 100_000
+#: Cells of a table that is held with all its zero counts, at most.
+DENSE_CELLS = 64 * MAX_WORDS
 LONGEST = 4
 BACKOFF = np.log(0.4)
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -33,13 +34,46 @@ _WORDS = re.compile(r"[^\W\d_]+")
 MEMORY_CELLS = 2_000_000
 
 
+class Table:
+    """Smoothed log shares of keys in each language, by the key's place.
+
+    Beyond DENSE_CELLS only the counted cells are kept; all others of a language are alike.
+    """
+
+    def __init__(self, counts: list[Counter], keys: list[str]):
+        place = {k: i for i, k in enumerate(keys)}
+        totals = np.maximum(np.array([sum(c.values()) for c in counts], np.float64), 1)
+        self.size, below = max(len(counts), 1), totals + 0.05 * max(len(keys), 1)
+        self.none = np.log(0.05 / below) if len(counts) else np.zeros(1)
+        cells = [(i, n, at) for at, c in enumerate(counts) for k, n in c.items() if (i := place.get(k)) is not None]
+        of, n, at = np.array(cells, np.int64).reshape(-1, 3).T
+        order = np.argsort(of, kind="stable")
+        of, self.languages = of[order], at[order]
+        self.values = np.log((n[order] + 0.05) / below[self.languages]) if len(of) else np.zeros(0)
+        self.starts = np.searchsorted(of, np.arange(len(keys) + 1))
+        self.dense = None
+        if len(keys) * self.size <= DENSE_CELLS:
+            self.dense = self._spread(np.arange(len(keys)))
+
+    def _spread(self, places: np.ndarray) -> np.ndarray:
+        out = np.repeat(self.none[None], len(places), axis=0)
+        lengths = self.starts[places + 1] - self.starts[places]
+        row = np.repeat(np.arange(len(places)), lengths)
+        cell = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(self.starts[places], lengths)
+        out[row, self.languages[cell]] = self.values[cell]
+        return out
+
+    def rows(self, places: list[int]) -> np.ndarray:
+        return self.dense[places] if self.dense is not None else self._spread(np.array(places, np.int64))
+
+
 @dataclass
 class Model:
     languages: list[str]
     words: dict[str, int]
-    word_scores: np.ndarray
+    word_scores: Table
     grams: dict[str, int]
-    gram_scores: np.ndarray
+    gram_scores: Table
     nothing: np.ndarray
 
     def unseen(self, word: str) -> np.ndarray:
@@ -57,25 +91,20 @@ class Model:
                 n = 1
                 missing += 1
             at += n
-        return self.gram_scores[found].sum(axis=0) + shorter * BACKOFF + missing * self.nothing
+        return self.gram_scores.rows(found).sum(axis=0) + shorter * BACKOFF + missing * self.nothing
 
 
 def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def _smoothed(counts: list[Counter], keys: list[str]) -> np.ndarray:
-    table = np.array([[c[k] for c in counts] for k in keys], np.float64).reshape(len(keys), len(counts))
-    totals = np.maximum(np.array([sum(c.values()) for c in counts], np.float64), 1)
-    return np.log((table + 0.05) / (totals + 0.05 * max(len(keys), 1)))
-
-
 def train(rows: list[tuple[str, str]]) -> Model:
     """A model of (text, language) rows; each language's counts are taken relative to its own total."""
     languages = sorted({lang for _, lang in rows})
     of_words, of_grams = [Counter() for _ in languages], [Counter() for _ in languages]
+    place = {lang: k for k, lang in enumerate(languages)}
     for text, lang in rows:
-        of_words[languages.index(lang)].update(words_of(text))
+        of_words[place[lang]].update(words_of(text))
     for counts, grams in zip(of_words, of_grams, strict=True):
         for word, n in counts.items():
             marked = f"\x02{word}\x03"
@@ -87,48 +116,63 @@ def train(rows: list[tuple[str, str]]) -> Model:
         total: Counter = Counter()
         for c in counts:
             total.update(c)
-        kept = sorted((k for k, n in total.items() if n >= least), key=lambda k: (-total[k], k))
-        return kept[:most]
+        turn: dict[str, int] = {}
+        for c in counts:
+            own = sorted((k for k in c if total[k] >= least), key=lambda k: (-c[k], k))
+            for rank, k in enumerate(own):
+                turn[k] = min(rank, turn.get(k, rank))
+        return sorted(turn, key=lambda k: (turn[k], -total[k], k))[:most]
 
     words, grams = top(of_words, MAX_WORDS, 3), top(of_grams, MAX_GRAMS, 2)
     size = max(len(languages), 1)
     return Model(
         languages,
         {w: k for k, w in enumerate(words)},
-        _smoothed(of_words, words) if languages else np.zeros((0, size)),
+        Table(of_words, words),
         {g: k for k, g in enumerate(grams)},
-        _smoothed(of_grams, grams) if languages else np.zeros((0, size)),
+        Table(of_grams, grams),
         np.full(size, np.log(1e-6)),
     )
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """A bounded sample of (text, lang) rows, none held out."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
-    return texts_and_labels(class_sample(rows.where("text is not null"), SAMPLE_PER_LANGUAGE, "language", MAX_LANGUAGES))
+    """A bounded sample of (text, lang) rows of every language that has text with a letter; none held out.
+
+    A text too long for a sample gives its first part, so that a language of long texts is learnt too.
+    """
+    text = F.col(text_col)
+    part = F.when(F.octet_length(text) > LONGEST_TRAINING_TEXT, F.substring(text, 1, LONGEST_TRAINING_TEXT // 4)).otherwise(text)
+    rows = docs.select(F.col(id_col).alias("doc_id"), part.alias("text"), F.col(lang_col).alias("label")).where(F.col("text").rlike(r"\p{L}"))
+    return texts_and_labels(class_sample(rows, SAMPLE_PER_LANGUAGE, "language", None, SAMPLE))
 
 
 class Scorer:
     """Scores texts with one model; remembers unseen words up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.places = model, dict(model.words)
-        room = len(model.words) + max(MEMORY_CELLS // max(len(model.languages), 1), 1000)
-        self.scores = np.zeros((room, max(len(model.languages), 1)))
-        self.scores[: len(model.words)] = model.word_scores
+        self.model, self.kept = model, {}
+        size = max(len(model.languages), 1)
+        room = max(MEMORY_CELLS // size, 1000 if size <= 1000 else 1)
+        if model.word_scores.dense is not None:
+            self.kept, room = dict(model.words), room + len(model.words)
+        self.places = dict(self.kept)
+        self.scores = np.zeros((room, size))
+        self.scores[: len(self.kept)] = model.word_scores.dense if self.kept else 0
 
     def _place(self, word: str) -> int:
-        k = self.places[word] = len(self.places)
-        self.scores[k] = self.model.unseen(word)
+        k, known = len(self.places), self.model.words.get(word)
+        self.places[word] = k
+        self.scores[k] = self.model.unseen(word) if known is None else self.model.word_scores.rows([known])[0]
         return k
 
     def totals(self, words: list[str]) -> np.ndarray:
         """The summed scores of a text's words."""
         total = np.zeros(self.scores.shape[1])
-        for at in range(0, len(words), 500):
-            part = words[at : at + 500]
+        step = min(500, len(self.scores) - len(self.kept))
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
             if len(self.places) + len(part) > len(self.scores):
-                self.places = dict(self.model.words)
+                self.places = dict(self.kept)
             found = list(map(self.places.get, part))
             if None in found:
                 get = self.places.get

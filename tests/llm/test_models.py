@@ -81,6 +81,38 @@ def test_odd_rows(odd, none, make):
     assert by_id[1] == by_id[2] and by_id[3] == by_id[4] and make(none).count() == 0
 
 
+@pytest.mark.parametrize("dense", [True, False])
+def test_every_language_is_learnt(spark, monkeypatch, dense):
+    if not dense:
+        monkeypatch.setattr(language, "DENSE_CELLS", 0)
+        monkeypatch.setattr(language, "MEMORY_CELLS", 100)
+    monkeypatch.setattr(language, "SAMPLE", 300)
+    own = {f"l{k:03}": [f"{chr(0x4E00 + 40 * k + j)}{chr(0x4E01 + 40 * k + j)}x" for j in range(30)] for k in range(150)}
+    rows = [(n * 1000 + k, " ".join(words[n % 5 :]), lang) for k, (lang, words) in enumerate(own.items()) for n in range(8 if k < 70 else 5)]
+    docs = spark.createDataFrame([*rows, (1 << 40, "no language", None)], "doc_id long, text string, lang string")
+    sample = language.training_rows(docs)
+    assert {lang for _, lang in sample} == set(own) and len(sample) <= 300
+    got = language.identify(docs, language.train(sample)).collect()
+    want = {d: lang for d, _, lang in rows}
+    assert all(r["lang_pred"] == want[r["doc_id"]] for r in got if r["doc_id"] in want)
+
+
+def test_language_of_long_or_few_lettered_texts_is_learnt(spark):
+    rows = [(k, "日本語 " * 80_000, "ja") for k in range(4)] + [(10 + k, "--- 12", "xx") for k in range(4)] + [(20 + k, "un chien", "fr") for k in range(4)]
+    sample = language.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang for _, lang in sample} == {"ja", "fr"}
+
+
+def test_sparse_tables_equal_dense_ones(monkeypatch):
+    rows = [("the dog and the fox ran the the", "en"), ("der Hund und der der Fuchs", "de"), ("le chien et le renard le", "fr")] * 3
+    texts = ["the dog", "der Hundt", "une chienne le", "zzz qqq", "the der le " * 400]
+    whole = language.Scorer(language.train(rows))
+    want = [whole.predict(t) for t in texts]
+    monkeypatch.setattr(language, "DENSE_CELLS", 0)
+    thin = language.Scorer(language.train(rows))
+    assert thin.model.word_scores.dense is None and [thin.predict(t) for t in texts] == want
+
+
 def test_language_without_letters(odd):
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(odd, language.train([("the lazy dog and the quick fox today", "en"), ("der faule Hund und der schnelle Fuchs heute", "de")] * 4)).collect()}
     assert got[3] == got[4] == got[5] == "und" and got[1] == "en" and got[7] == "de"
