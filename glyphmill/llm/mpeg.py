@@ -119,8 +119,8 @@ class Stream:
         return n // g, rate // g
 
 
-def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
-    """Text frames of ID3v2.3/2.4 and the fields of ID3v1, with the bounds of the audio between."""
+def read_tags(data: bytes, old_tag: bool = True) -> tuple[dict[str, str], int, int]:
+    """Text frames of ID3v2.3/2.4 and (with ``old_tag``) the fields of ID3v1, with the bounds of the audio between."""
     tags, begin, end = {}, 0, len(data)
     while data[begin : begin + 3] == b"ID3" and begin + 10 <= len(data):
         major, size = data[begin + 3], _unsyncsafe(data[begin + 6 : begin + 10])
@@ -135,7 +135,7 @@ def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
                 tags[key] = value
             at += 10 + length
         begin += 10 + size + (10 if major >= 4 and data[begin + 5] & 0x10 else 0)
-    if end - begin >= 128 and data[end - 128 : end - 125] == b"TAG":
+    if old_tag and end - begin >= 128 and data[end - 128 : end - 125] == b"TAG":
         old = data[end - 128 : end]
         for key, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
             if value := old[a:b].rstrip(b"\0 ").decode("latin-1"):
@@ -168,15 +168,25 @@ def parse(data: bytes) -> Stream:
     """Parse any byte string; never raises.
 
     A header counts if the next one follows its frame or the audio ends there, or if it follows a
-    frame itself and is of the same version, layer, rate and channels.
+    frame itself and is of the same version, layer, rate and channels. TAG at 128 bytes before the
+    end is an ID3v1 tag, unless it lies within chained frames that reach the very end.
     """
+    if data[-128:-125] == b"TAG":
+        out, chain, at = _walk(data, False)
+        if chain <= len(data) - 128 and at == len(data):
+            return out
+    return _walk(data, True)[0]
+
+
+def _walk(data: bytes, old_tag: bool) -> tuple[Stream, int, int]:
+    """What was found, and the bounds of the last chain of frames (its begin is the end where no frame comes last)."""
     out = Stream()
-    out.tags, at, end = read_tags(data)
+    out.tags, at, end = read_tags(data, old_tag)
 
     def header_at(i: int) -> Header | None:
         return read_header(int.from_bytes(data[i : i + 4], "big")) if i + 4 <= end else None
 
-    last, first = None, True
+    last, first, chain = None, True, end
     kind = lambda h: (h.version, h.layer, h.sample_rate, h.channels)
     while at + 4 <= end:
         header = header_at(at)
@@ -185,8 +195,9 @@ def parse(data: bytes) -> Stream:
             found = data.find(b"\xff", at + 1, end)
             to = end if found < 0 else found
             out.skipped += to - at
-            at, last = to, None
+            at, last, chain = to, None, end
             continue
+        chain = at if last is None else chain
         if header.protected:
             out.checked += 1
             body = data[at + 2 : at + 4] + data[at + 6 : at + 6 + header.side_info]
@@ -200,7 +211,7 @@ def parse(data: bytes) -> Stream:
             out.headers.append(header)
         at, last, first = after, header, False
     out.skipped += max(0, end - at) if at < end else 0
-    return out
+    return out, chain, at
 
 
 def _frame(rate_index: int, body: bytes) -> bytes:

@@ -94,6 +94,16 @@ def test_mpeg_round_trip(size):
     assert [media[a : a + 2] for a in stream.starts] == [b"\xff\xfa"] * len(stream.starts)
 
 
+@pytest.mark.parametrize("size", [64, 128, 192, 256, 320, 1408, 1472, 1600, 3000])
+def test_mpeg_round_trip_with_tag_at_every_offset(size):
+    for at in range(size - 2):
+        payload = mpeg.padded(b"x" * at + b"TAG" + b"y" * (size - at - 3))
+        stream = mpeg.parse(media := mpeg.encode(payload))
+        assert mpeg.payload_of(media, stream) == payload and stream.wrong == stream.skipped == 0
+    tagged = mpeg.parse(media + b"TAG" + b"Title".ljust(30, b"\0") + bytes(95))
+    assert tagged.tags["TIT2"] == "Title" and tagged.starts == stream.starts and tagged.skipped == 0
+
+
 def test_mpeg_resynchronises_and_checks():
     media = mpeg.encode(mpeg.padded(b"x" * 3000))
     whole = mpeg.parse(media)
