@@ -21,10 +21,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates, by the operator's own radius."""
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(first.first_id), "left_semi")
+    """One row of each group of near duplicates, by the operator's own radius.
+
+    It is the row of smallest doc_id (null ids last), ties by the text's hash, then by a row number. Rows
+    that repeat an id are rows of their own: equal texts leave one, different texts each count in their own group.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    # The row numbers are written once, so that both readers see the same ones.
+    rows = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = simhash.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias("of_row"), F.col("component_id").alias("of_group"))
+    order = rows.select(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(row).alias("kept")).alias("o"))
+    first = order.join(groups, F.col("o.kept") == F.col("of_row")).groupBy("of_group").agg(F.min("o").alias("o")).select("o.kept")
+    return rows.join(first, rows[row] == first.kept, "left_semi").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,3 +212,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(r["doc_id"] for r in mixed.collect()) <= first and mixed.columns == docs.columns
     final = coded(spark, mixed, folder).collect()
     assert sorted((r["doc_id"], r["decoded"]) for r in final) == sorted((r["doc_id"], r["text"] or "") for r in mixed.collect())
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, a), (2, a), (1, b), (0, b), (None, c), (None, c), (None, d), (7, d.upper()), (None, None), (None, ""), (3, "x y z w"), (3, "p q r s")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row long").repartition(4)
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (0, b), (None, c), (7, d.upper()), (None, ""), (3, "x y z w"), (3, "p q r s")], key=str)
+    assert corpus_pipeline.one_of_each_group(spark, docs.limit(0), "").count() == 0
