@@ -3,8 +3,9 @@
 The writer stores a payload in the ancillary bytes of silent MPEG-1 Layer III mono frames,
 behind an ID3v2 tag (which holds the payload's length) and a frame with a variable-bitrate
 table. The parser takes any byte string: it reads tags, resynchronises on frame headers past
-garbage, reads Xing, Info and VBRI tables, verifies frame checksums, and gives exact durations
-(whole samples over the sample rate) and the byte offset of every frame.
+garbage, reads Xing, Info and VBRI tables, verifies the checksums of Layer III frames (those of
+Layers I and II are counted as unchecked), and gives exact durations (whole samples over the
+sample rate) and the byte offset of every frame. Free-format frames are not parsed.
 """
 
 from __future__ import annotations
@@ -95,13 +96,17 @@ def _unsyncsafe(b: bytes) -> int:
 
 @dataclass
 class Stream:
-    """What the parser found; ``starts`` and ``headers`` leave out the frame with the table."""
+    """What the parser found; ``starts`` and ``headers`` leave out the frame with the table.
+
+    ``checked`` frames had their checksum compared (``wrong`` of them in vain); ``unchecked`` ones have one that was not compared.
+    """
 
     tags: dict[str, str] = field(default_factory=dict)
     starts: list[int] = field(default_factory=list)
     headers: list[Header] = field(default_factory=list)
     checked: int = 0
     wrong: int = 0
+    unchecked: int = 0
     skipped: int = 0
     table: dict | None = None
 
@@ -198,10 +203,12 @@ def _walk(data: bytes, old_tag: bool) -> tuple[Stream, int, int]:
             at, last, chain = to, None, end
             continue
         chain = at if last is None else chain
-        if header.protected:
+        if header.protected and header.layer != 3:
+            out.unchecked += 1
+        elif header.protected:
             out.checked += 1
             body = data[at + 2 : at + 4] + data[at + 6 : at + 6 + header.side_info]
-            if header.layer == 3 and crc16(body) != int.from_bytes(data[at + 4 : at + 6], "big"):
+            if crc16(body) != int.from_bytes(data[at + 4 : at + 6], "big"):
                 out.wrong += 1
         table = read_table(data[at:after], header) if first else None
         if table:
@@ -273,7 +280,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 PARSED = (
-    "tags map<string,string>, frames int, samples long, sample_rate int, duration_num long, duration_den long, checked int, wrong int, "
+    "tags map<string,string>, frames int, samples long, sample_rate int, duration_num long, duration_den long, checked int, wrong int, unchecked int, "
     "skipped long, table_kind string, table_frames long, table_bytes long, table_seek array<long>, frame_offsets array<long>, bitrates array<int>, payload binary"
 )
 
@@ -291,6 +298,7 @@ def _parsed(data: bytes | None) -> dict:
         "duration_den": s.duration[1],
         "checked": s.checked,
         "wrong": s.wrong,
+        "unchecked": s.unchecked,
         "skipped": s.skipped,
         "table_kind": table.get("kind"),
         "table_frames": table.get("frames"),
@@ -312,6 +320,7 @@ _PARSED_ARROW = pa.struct(
         pa.field("duration_den", pa.int64()),
         pa.field("checked", pa.int32()),
         pa.field("wrong", pa.int32()),
+        pa.field("unchecked", pa.int32()),
         pa.field("skipped", pa.int64()),
         pa.field("table_kind", pa.string()),
         pa.field("table_frames", pa.int64()),

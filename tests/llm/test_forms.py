@@ -128,6 +128,13 @@ def test_mpeg_headers(word, want):
     assert (h and (h.version, h.layer, h.bitrate, h.sample_rate, h.length, h.samples)) == want
 
 
+@pytest.mark.parametrize(("word", "counts"), [(0xFFFC8400, (0, 0, 3)), (0xFFFE4000, (0, 0, 3)), (0xFFFD8400, (0, 0, 0)), (0xFFFA9000, (3, 3, 0))])
+def test_unchecked_frames_are_said_to_be(word, counts):
+    header = mpeg.read_header(word)
+    stream = mpeg.parse((word.to_bytes(4, "big") + b"\x12\x34").ljust(header.length, b"\1") * 3)
+    assert len(stream.starts) == 3 and (stream.checked, stream.wrong, stream.unchecked) == counts
+
+
 def test_vbri_table():
     header = mpeg.read_header(0xFFFB9000)
     frame = (0xFFFB9000).to_bytes(4, "big") + bytes(32) + b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (12).to_bytes(4, "big") + (2).to_bytes(2, "big") + (3).to_bytes(2, "big") + (1).to_bytes(2, "big") + bytes([0, 6]) + bytes([7, 9])
