@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.vectors import cosine_similarity
 
-#: Query vectors up to this number are sent to every task.
+#: Query vectors up to this number are sent to every task; more are searched in blocks of about half of it.
 BROADCAST_QUERIES = 2_000
 
 
@@ -18,9 +20,12 @@ def query_vectors(spark: SparkSession, queries: list[tuple[int, list[float]]]) -
 
 def cosine_scores(units: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, rowid, name and score of every unit with a vector for every query."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} query vectors; search them in blocks")
-    pairs = units.where("embedding is not null").select("rowid", "name", "embedding").join(F.broadcast(queries), F.size("query_vector") >= 0)
+    count = queries.count()
+    blocks = 1 if count <= BROADCAST_QUERIES else -(-2 * count // BROADCAST_QUERIES)
+    rows = units.where("embedding is not null").select("rowid", "name", "embedding")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [queries if blocks == 1 else queries.where(block == k) for k in range(blocks)]
+    pairs = reduce(DataFrame.union, [rows.join(F.broadcast(part), F.size("query_vector") >= 0) for part in parts])
     return pairs.select("query_id", "rowid", "name", cosine_similarity(F.col("embedding"), F.col("query_vector")).alias("score"))
 
 

@@ -255,3 +255,13 @@ def test_extraction_quarantines_bad_files(spark):
     rows = spark.createDataFrame([("ok.rs", "rust", bytearray(b"pub fn a() {}")), ("bad.rs", "rust", bytearray(b"\xff")), ("none.rs", "rust", None)], "file_path string, language string, content binary")
     got = {(r["file_path"], r["name"], r["error"] is None) for r in extract_rows(rows).collect()}
     assert got == {("ok.rs", "a", True), ("bad.rs", None, False)}
+
+
+def test_many_query_vectors_are_searched_in_blocks(spark, monkeypatch):
+    from glyphmill.operators import similarity
+
+    units = spark.createDataFrame([(k, f"n{k}", [float(k % 7), float(k % 5), 1.0]) for k in range(30)] + [(99, "none", None)], "rowid long, name string, embedding array<float>")
+    queries = similarity.query_vectors(spark, [(q, [float(q), 1.0, 2.0]) for q in range(11)])
+    want = sorted(map(tuple, similarity.search_vector(units, queries, 4).collect()))
+    monkeypatch.setattr(similarity, "BROADCAST_QUERIES", 4)
+    assert sorted(map(tuple, similarity.search_vector(units, queries, 4).collect())) == want and len(want) == 44
