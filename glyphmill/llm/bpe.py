@@ -21,14 +21,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import bounded_batches, small_slices, table, text_column
+from glyphmill.llm.common import bounded_batches, small_slices, table, text_column, tidy
 
 #: The public pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a task remembers with their ids, at most; a worker that is used again starts without them.
 REMEMBERED = 200_000
+#: Bytes of text that are cut into pieces at once, about.
+SLICE = 2 << 20
 #: Symbols that one pass over the ranks handles, at most (a longer piece comes alone).
-PASS_SYMBOLS = 1 << 20
+PASS_SYMBOLS = 1 << 19
 
 
 def vocabulary_path() -> str:
@@ -73,7 +75,7 @@ class Tokenizer:
         self.joined = np.frombuffer(b"".join(self.token), np.uint8)
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols; -1 for pairs that no merge has."""
@@ -81,8 +83,8 @@ class Tokenizer:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
-    def merge_all(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece, by one ascending pass over the ranks that occur."""
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece (as 32-bit integers), by one ascending pass over the ranks that occur."""
         lengths = np.array([len(p) for p in pieces], np.int64)
         symbol = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)].copy()
         n = len(symbol)
@@ -145,8 +147,9 @@ class Tokenizer:
             fresh = np.concatenate((left_of[left_of >= 0], at[inner]))
             file(np.unique(fresh) if left == right or len(fresh) > 1 else fresh)
         ids = symbol[alive]
-        counts = np.bincount(piece[alive], minlength=len(pieces))
-        return np.split(ids, np.cumsum(counts)[:-1])
+        ends = 4 * np.cumsum(np.bincount(piece[alive], minlength=len(pieces)))
+        raw = ids.astype(np.int32).tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that are not remembered yet, in passes of bounded size."""
@@ -176,9 +179,8 @@ class Tokenizer:
                 fresh = list(distinct)
             self.learn(sorted(fresh))
         for name, k in self.special.items():
-            known[name] = np.array([k], np.int32)
-        empty = np.zeros(0, np.int32)
-        return [np.concatenate([known[p] for p in pieces]) if pieces else empty for pieces in cuts]
+            known[name] = np.array([k], np.int32).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32) for pieces in cuts]
 
     def _pieces(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.special):
@@ -211,25 +213,42 @@ def _spec(spark, path: str | None) -> object:
         return spark.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array<int>) for each input row; a null or empty text has no ids.
+def _ids_array(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
 
-    The vocabulary file is read by the driver and sent to the tasks (a few MB). Other columns
-    are ignored; an empty table gives no rows.
-    """
+
+def _coder(docs: DataFrame, path: str | None, id_col: str, text_col: str, decoded: bool) -> DataFrame:
+    """doc_id, ids and, if asked for, decoded; one pass with one tokenizer a task."""
     spec = _spec(bounded_batches(docs), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(spec.value)
-        for batch in small_slices(batches, "text"):
+        for batch in small_slices(batches, "text", SLICE):
             found = tokenizer.encode_batch([t or "" for t in text_column(batch, "text").to_pylist()])
-            offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            columns = [batch.column(0), _ids_array(found)]
+            if decoded:
+                columns.append(pa.array([tokenizer.decode(ids) for ids in found], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
         tokenizer.known.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return narrow.mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>" + (", decoded string" if decoded else ""))
+
+
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids (array<int>) for each input row; a null or empty text has no ids.
+
+    The vocabulary file is read by the driver and sent to the tasks (a few MB). Other columns
+    are ignored; an empty table gives no rows.
+    """
+    return _coder(docs, path, id_col, text_col, False)
+
+
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids and decoded (the text that the ids give) for each input row: ``decode(encode(docs))`` in one pass."""
+    return _coder(docs, path, id_col, text_col, True)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -248,11 +267,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    coded = decode(encode(table(spark, sf_dir, "documents")))
+    coded = round_trip(table(spark, sf_dir, "documents"))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,43 @@ def bounded_batches(df: DataFrame) -> SparkSession:
     return spark
 
 
+def hand_back() -> None:
+    """Give the system what this process has freed; a Python worker lives on after its task, beside other ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with the memory of its task handed back at the end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return whole
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table], least: int = 4 << 20) -> Callable[[pa.Table], pa.Table]:
+    """``run`` for applyInArrow, with the memory of each group of ``least`` bytes or more handed back."""
+
+    def whole(rows: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        large, out = rows.nbytes >= least, run(rows)
+        if large:
+            del rows
+            hand_back()
+        return out
+
+    return whole
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose crc32(doc_id as text) leaves 0 modulo 5; they are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

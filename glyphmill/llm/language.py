@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import LONGEST_TRAINING_TEXT, bounded_batches, class_sample, held_out, small_slices, table, text_column, texts_and_labels
+from glyphmill.llm.common import LONGEST_TRAINING_TEXT, bounded_batches, class_sample, held_out, small_slices, table, text_column, texts_and_labels, tidy
 
 UNKNOWN = "und"
 #: Training texts of each language and of all, at most, taken by the smallest id hashes. Every
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import bounded_batches, small_slices, text_column
+from glyphmill.llm.common import bounded_batches, small_slices, text_column, tidy
 
 UNIT = 64
 
@@ -276,7 +276,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, media binary")
 
 
 PARSED = (
@@ -350,7 +350,7 @@ def parse_media(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media
 
     narrow = rows.select(F.col(id_col).alias("doc_id"), *kept, F.col(media_col).alias("media"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields)
-    return narrow.mapInArrow(run, f"{fields}, audio struct<{PARSED}>")
+    return narrow.mapInArrow(tidy(run), f"{fields}, audio struct<{PARSED}>")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

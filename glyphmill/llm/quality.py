@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import bounded_batches, byte_view, held_out, labelled_texts, small_slices, table, text_column
+from glyphmill.llm.common import bounded_batches, byte_view, held_out, labelled_texts, small_slices, table, text_column, tidy
 
 #: Labelled texts of each label that are broadcast as neighbours, at most.
 SAMPLE_PER_CLASS = 1000
@@ -135,7 +135,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_batch(sent.value, _raws(batch, "text")))], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -146,7 +146,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
         for batch in small_slices(batches, text_col):
             yield batch.filter(pa.array(score_batch(sent.value, _raws(batch, text_col)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def fitted(spark, sf_dir: str) -> Model:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import bounded_batches, byte_view, checkpointed, small_slices, table, text_column
+from glyphmill.llm.common import bounded_batches, byte_view, checkpointed, small_slices, table, text_column, tidy
 
 SEED = 42
 #: Fingerprints that the upper tree is fitted on, at most.
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {kind}, fp long")
+    return narrow.mapInArrow(tidy(run), f"doc_id {kind}, fp long")
 
 
 def masks(blocks: int) -> list[int]:
@@ -211,7 +211,7 @@ def links(distinct: DataFrame, radius: int = 3, blocks: int = 2) -> DataFrame:
         a, b = shard_links(points, of_block[key[0].as_py() % blocks], block_radius, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard long, fp long")
+    dealt = distinct.select("fp").mapInArrow(tidy(deal), "shard long, fp long")
     return dealt.groupBy("shard").applyInArrow(solve, "a long, b long")
 
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import bounded_batches, byte_view, partitions_for, small_slices, table, text_column
+from glyphmill.llm.common import bounded_batches, byte_view, partitions_for, small_slices, table, text_column, tidy, tidy_group
 
 DEPTH = 50
 ANCHOR = 24
@@ -449,8 +449,8 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield from _anchor_rows(np.concatenate(texts), np.concatenate(hashes), groups)
 
     hashed = narrow.select(F.xxhash64("text").alias("t"), "text")
-    repeated = hashed.mapInArrow(anchors, _ANCHOR_ROWS).groupBy("grp").applyInArrow(lambda rows: _repeated_anchors(rows, groups, parts), "part int, texts binary, codes binary")
-    by_text = repeated.groupBy("part").applyInArrow(_codes_of_texts, "t long, codes binary")
+    repeated = hashed.mapInArrow(tidy(anchors), _ANCHOR_ROWS).groupBy("grp").applyInArrow(tidy_group(lambda rows: _repeated_anchors(rows, groups, parts)), "part int, texts binary, codes binary")
+    by_text = repeated.groupBy("part").applyInArrow(tidy_group(_codes_of_texts), "t long, codes binary")
     # The smallest document of each text; texts of equal hash but different digests are taken whole.
     firsts = narrow.select(F.xxhash64("text").alias("t"), F.unhex(F.sha2("text", 256)).alias("digest"), "doc").groupBy("t", "digest").agg(F.min("doc").alias("doc"))
     grouped = firsts.groupBy("t").agg(F.collect_set("doc").alias("docs"), F.count(F.lit(1)).alias("texts"))
@@ -488,8 +488,8 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield from held.rows()
         yield from held.rows()
 
-    settled = asked.mapInArrow(strings, _STRING_ROWS).groupBy("grp").applyInArrow(lambda rows: _settle(rows, depth, parts), "part int, docs binary, texts binary, begins binary, counts binary")
-    marks = settled.groupBy("part").applyInArrow(_marks_of_docs, "doc long, t long, _begins binary, _counts binary")
+    settled = asked.mapInArrow(tidy(strings), _STRING_ROWS).groupBy("grp").applyInArrow(tidy_group(lambda rows: _settle(rows, depth, parts)), "part int, docs binary, texts binary, begins binary, counts binary")
+    marks = settled.groupBy("part").applyInArrow(tidy_group(_marks_of_docs), "doc long, t long, _begins binary, _counts binary")
     first = firsts.select(F.col("doc").alias("_first"), F.col("t").alias("f_t")).distinct().join(marks, (F.col("_first") == F.col("doc")) & (F.col("f_t") == F.col("t")), "left").select("_first", "f_t", "_begins", "_counts")
     return keyed.join(first, (F.col("_doc") == F.col("_first")) & (F.col("_t") == F.col("f_t")), "left").drop("f_t")
 
@@ -523,7 +523,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return with_marks(narrow, depth=depth).select("doc_id", "text", "_first", "_begins", "_counts").mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    return with_marks(narrow, depth=depth).select("doc_id", "text", "_first", "_begins", "_counts").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
 
 
 def kept_text(raw: bytes, gone: np.ndarray) -> str:
@@ -559,7 +559,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Plain names, so that no column of the input meets one of the operator's own.
     marked = with_marks(docs.toDF(*plain), plain[columns.index(id_col)], plain[text_at], depth)
-    return marked.select(*plain, "_first", "_begins", "_counts").mapInArrow(run, docs.schema)
+    return marked.select(*plain, "_first", "_begins", "_counts").mapInArrow(tidy(run), docs.schema)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

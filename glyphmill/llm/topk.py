@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import partitions_for, table
+from glyphmill.llm.common import partitions_for, table, tidy
 
 SCALE = 1024
 #: Pivots are the candidates with the smallest id hashes; their number bounds what is broadcast.
@@ -135,12 +135,12 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     q_blocks = max(1, -(-of_queries.count() // QUERY_ROWS))
     # Where the query blocks are few, the candidate blocks of each are spread over several tasks.
     salts = max(1, -(-partitions_for(spark) // q_blocks))
-    names = of_queries.repartition(q_blocks).mapInArrow(pack(QUERY_ROWS), block).select(
+    names = of_queries.repartition(q_blocks).mapInArrow(tidy(pack(QUERY_ROWS)), block).select(
         *[F.col(c).alias(f"q_{c}") for c in ("ids", "data", "wide", "small")],
         F.spark_partition_id().alias("q_block"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("q_salt"),
     )
-    blocks = rows.mapInArrow(pack(CANDIDATE_ROWS), block).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    blocks = rows.mapInArrow(tidy(pack(CANDIDATE_ROWS)), block).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     pairs = blocks.join(names, (F.col("block") == F.col("q_block")) & (F.col("salt") == F.col("q_salt")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
                         ["query_id", "vec_id", "score"],
                     )
 
-    local = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    local = pairs.mapInArrow(tidy(search), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import bounded_batches, held_out, labelled_texts, small_slices, table, text_column
+from glyphmill.llm.common import bounded_batches, held_out, labelled_texts, small_slices, table, text_column, tidy
 
 #: Training texts of each label, at most.
 SAMPLE_PER_CLASS = 1500
@@ -160,7 +160,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
