@@ -1,29 +1,36 @@
 """Language-model scores by stupid backoff over n-gram counts of the whole corpus.
 
-Documents are dealt into groups by a hash. Each group sends every distinct word and word pair
-it has, with its count, to the count table's partition that the n-gram's hash names; there
-counts are summed over all groups and joined back to the group's n-grams, and each group sums
-its documents' scores. A frequent n-gram leaves each group once, so no partition grows with it.
-N-grams travel as 40-bit tags within a partition of the hash.
+Three tables, joined on the hash of an n-gram: the documents' n-grams (exploded, and counted
+within groups of documents before they move), the count tables (partitioned by ranges of that
+hash, where the counts of all groups are summed), and the groups' n-grams with their totals,
+from which each document's scores are summed. A frequent n-gram leaves each group once, so no
+partition grows with it. Partitions and groups are cut by bytes of text, so both stay of one
+size however large the corpus is, and a row holds all n-grams that one group sends to one
+partition: as rows of their own they would take more than twice the shuffle.
+N-grams are 64-bit hashes; among ten billion distinct ones about three pairs are expected to
+share one, and to merge their counts.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import byte_view, checkpointed, partitions_for, table, text_column
+from glyphmill.llm.common import byte_view, checkpointed, hand_back, partitions_for, table, text_column, tidy_group
 
 ALPHA = 0.4
-#: Pairs seen less often than this count as unseen.
+#: Words of the longest n-gram.
+ORDER = 2
+#: N-grams of two words or more that are seen less often than this count as unseen.
 MIN_PAIR = 2
-#: Text bytes aimed at in one group of documents.
+#: Text bytes aimed at in one group of documents, and in one partition of the count tables.
 GROUP_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 _U = np.uint64
 _BYTE = np.random.default_rng(64206).integers(0, 1 << 63, 256, dtype=np.uint64) | _U(1)
 _K = 0x9E3779B97F4A7C15
@@ -62,7 +69,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         base = int(start[at])
         to = max(int(np.searchsorted(stop, base + _STEP, side="right")), at + 1)
         if int(stop[to - 1]) - base > _STEP:  # one word longer than a step
-            hashes[at] = _U(zlib.crc32(data[base : stop[at]].tobytes()) << 32 | zlib.adler32(data[base : stop[at]].tobytes()))
+            hashes[at] = _U(xxhash.xxh64_intdigest(data[base : stop[at]].tobytes()))
         else:
             part = data[base : stop[to - 1]]
             total = np.concatenate(([_U(0)], np.cumsum(_BYTE[part] * _UP[: len(part)], dtype=np.uint64)))
@@ -72,100 +79,115 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return _mixed(hashes), np.searchsorted(offsets, start, side="right") - 1
 
 
-def _grams(batch: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, texts, and for each word after a text's first, its place and its pair's hash."""
+def grams(batch: pa.Table | pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The text of each word, its place in the text, and for each n the hashes of the n-grams that end at the words.
+
+    Where a text has too few words before, the hash of an n-gram is of no meaning.
+    """
     data, offsets = byte_view(text_column(batch, "text"))
     words, text = word_hashes(data, offsets)
-    place = np.flatnonzero(text[1:] == text[:-1]) + 1 if len(words) else np.zeros(0, np.int64)
-    return words, text, place, _mixed(words[place - 1] * _U(0xC2B2AE3D27D4EB4F) + words[place])
+    first = np.searchsorted(text, np.arange(batch.num_rows))
+    place = np.arange(len(words)) - first[text]
+    chain, out = words, [_mixed(words * _U(0xD6E8FEB86659FD93))]
+    for n in range(2, order + 1):
+        chain = np.concatenate((chain[:1], _mixed(chain[:-1] * _U(0xC2B2AE3D27D4EB4F) + words[1:] + _U(n))))
+        out.append(chain)
+    return text, place, out
+
 
+def _keys(place: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
+    """All n-grams of all orders that lie within their texts."""
+    return np.concatenate([h[place >= n] for n, h in enumerate(found)])
 
-def _distinct(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams ordered by partition and tag: partitions, tags, counts, and each input's place among them."""
-    spread = _mixed(hashes * _U(0xD6E8FEB86659FD93))
-    part, tag = (spread % _U(groups)).astype(np.int64), (spread >> _U(24)).astype(np.int64)
-    code, inverse, counts = np.unique(part << 40 | tag, return_inverse=True, return_counts=True)
-    return code >> 40, code & (1 << 40) - 1, counts, inverse
 
+def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part's range of hashes begins and the last one ends among sorted keys."""
+    edges = np.array([-(-(k << 64) // parts) for k in range(1, parts)], np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
-def _pack(tags: np.ndarray) -> bytes:
-    return tags.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Ascending hashes: the first whole, then the steps in as many bytes as the largest needs."""
+    steps = np.diff(keys)
+    wide = max((int(steps.max()).bit_length() + 7) // 8, 1) if len(steps) else 1
+    return bytes([wide]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<i8").reshape(-1)
+    wide = raw[0]
+    out = np.zeros(((len(raw) - 9) // wide + 1, 8), np.uint8)
+    out[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    out[1:, :wide] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, wide)
+    return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64)
 
 
 def _squeeze(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+    kind = np.uint8 if counts.max(initial=0) < 256 else np.uint32 if counts.max() < 1 << 32 else np.int64
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(counts.astype(kind).tobytes(), 1)
 
 
 def _expand(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), np.int64)
-
+    return np.frombuffer(zlib.decompress(raw[1:]), {1: np.uint8, 4: np.uint32, 8: np.int64}[raw[0]]).astype(np.int64)
 
-_SENT = "part int, grp long, words binary, word_counts binary, pairs binary, pair_counts binary"
 
-
-def _send(rows: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
+def _send(rows: pa.Table, parts: int, order: int) -> pa.Table:
+    """A group's distinct n-grams with their counts, one row a part."""
     batch = rows.combine_chunks()
-    group = batch.column("grp")[0].as_py()
-    words, _, _, pairs = _grams(batch)
-    word_part, word_tag, word_count, _ = _distinct(words, parts)
-    pair_part, pair_tag, pair_count, _ = _distinct(pairs, parts)
-    cut = np.arange(parts + 1)
-    a, b = np.searchsorted(word_part, cut), np.searchsorted(pair_part, cut)
-    out: list[list] = [[] for _ in range(6)]
-    for k in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
-        own, two = slice(a[k], a[k + 1]), slice(b[k], b[k + 1])
-        for column, value in zip(out, (k, group, _pack(word_tag[own]), _squeeze(word_count[own]), _pack(pair_tag[two]), _squeeze(pair_count[two])), strict=True):
-            column.append(value)
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], [f.split()[0] for f in _SENT.split(", ")])
-
-
-def _totals(tags: list[bytes], counts: list[bytes]) -> list[bytes]:
-    """Each sender's counts summed over all senders of the partition, in the order that it sent."""
-    every, own = np.concatenate([_unpack(t) for t in tags]), np.concatenate([_expand(c) for c in counts])
-    _, inverse = np.unique(every, return_inverse=True)
-    total = np.zeros(int(inverse.max()) + 1 if len(inverse) else 0, np.int64)
-    np.add.at(total, inverse, own)
-    total = total[inverse]
-    ends = np.cumsum([len(t) // 5 for t in tags])
-    return [_squeeze(part) for part in np.split(total, ends[:-1])]
-
-
-def _count(rows: pa.Table) -> pa.Table:
-    names = rows.column_names
-    col = {n: rows.column(n).to_pylist() for n in names}
+    _, place, found = grams(batch, order)
+    keys, counts = np.unique(_keys(place, found), return_counts=True)
+    cuts = _ranges(keys, parts)
+    own = np.flatnonzero(np.diff(cuts))
+    spans = [(int(cuts[k]), int(cuts[k + 1])) for k in own]
     return pa.table(
         {
-            "part": pa.array(col["part"], pa.int32()),
-            "grp": pa.array(col["grp"], pa.int64()),
-            "word_totals": pa.array(_totals(col["words"], col["word_counts"]), pa.binary()),
-            "pair_totals": pa.array(_totals(col["pairs"], col["pair_counts"]), pa.binary()),
+            "part": pa.array(own.astype(np.int32)),
+            "grp": pa.array(np.full(len(own), batch.column("grp")[0].as_py() if batch.num_rows else 0, np.int64)),
+            "grams": pa.array([_pack(keys[a:b]) for a, b in spans], pa.binary()),
+            "counts": pa.array([_squeeze(counts[a:b]) for a, b in spans], pa.binary()),
         }
     )
 
 
-def _score(docs: pa.Table, counted: pa.Table, parts: int, alpha: float, min_pair: int) -> pa.Table:
+def _count(rows: pa.Table) -> pa.Table:
+    """One partition of the count tables joined to what the groups sent: each sender's n-grams with their totals, in its order."""
+    sent = [_unpack(r) for r in rows.column("grams").to_pylist()]
+    every = np.concatenate(sent)
+    ends = np.cumsum([len(s) for s in sent])
+    del sent
+    order = np.argsort(every, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(every[order]) != 0)))
+    own = np.concatenate([_expand(c) for c in rows.column("counts").to_pylist()])
+    totals = np.add.reduceat(own[order], first)
+    joined = np.empty(len(every), np.int64)
+    joined[order] = np.repeat(totals, np.diff(np.append(first, len(every))))
+    return pa.table({"part": rows.column("part"), "grp": rows.column("grp"), "totals": pa.array([_squeeze(t) for t in np.split(joined, ends[:-1])], pa.binary())})
+
+
+def _score(docs: pa.Table, counted: pa.Table, alpha: float, min_pair: int, order: int) -> pa.Table:
     batch = docs.combine_chunks()
-    words, text, place, pairs = _grams(batch)
+    text, place, found = grams(batch, order)
     n = batch.num_rows
-    order = np.argsort(np.array(counted.column("part").to_pylist(), np.int64), kind="stable").tolist()
-    gather = lambda name: np.concatenate([np.zeros(0, np.int64), *[_expand(counted.column(name)[k].as_py()) for k in order]])
-    of_words, of_pairs = gather("word_totals"), gather("pair_totals")
-    word_total = of_words[_distinct(words, parts)[3]] if len(words) else np.zeros(0)
-    pair_total = of_pairs[_distinct(pairs, parts)[3]] if len(pairs) else np.zeros(0)
-    log_word = np.log(np.maximum(word_total, 1).astype(np.float64))
-    value, lower = log_word.copy(), np.ones(len(words))
-    seen = pair_total >= min_pair
-    value[place[~seen]] += np.log(alpha)
-    known = place[seen]
-    value[known] = np.log(pair_total[seen].astype(np.float64)) - log_word[known - 1]
-    lower[known] = 0
+    keys = np.unique(_keys(place, found))
+    parts = np.argsort(np.array(counted.column("part").to_pylist(), np.int64), kind="stable").tolist()
+    packed = counted.column("totals").to_pylist()
+    totals = np.concatenate([np.zeros(0, np.int64), *[_expand(packed[k]) for k in parts]])
+    of = lambda h: totals[np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))]
+    value, lower = np.zeros(len(text)), np.ones(len(text))
+    if len(text):
+        log = np.log(np.maximum(of(found[0]), 1).astype(np.float64))
+        value, below = log.copy(), log
+        for size in range(2, order + 1):
+            inside = np.flatnonzero(place >= size - 1)
+            total = of(found[size - 1][inside])
+            here = np.log(np.maximum(total, 1).astype(np.float64))
+            seen = total >= min_pair
+            at = inside[seen]
+            value[inside[~seen]] += np.log(alpha)
+            value[at] = here[seen] - below[at - 1]
+            lower[at] = 0
+            longest = np.zeros(len(text))
+            longest[inside] = here
+            below = longest
     return pa.table(
         {
             "doc_id": batch.column("doc_id"),
@@ -176,28 +198,38 @@ def _score(docs: pa.Table, counted: pa.Table, parts: int, alpha: float, min_pair
     )
 
 
-def backoff_scores(docs: DataFrame, alpha: float = ALPHA, min_pair: int = MIN_PAIR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def backoff_scores(docs: DataFrame, alpha: float = ALPHA, min_pair: int = MIN_PAIR, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, n_words and score: the mean log of each word's stupid-backoff score.
 
-    A word after w scores count(w word) / count(w) where the pair occurs ``min_pair`` times or
-    more in all documents, else alpha * count(word) / N; a text's first word scores count / N.
+    A word after the ``order`` - 1 words before it scores count(all of them) / count(those before)
+    where the n-gram occurs ``min_pair`` times or more in all documents, else alpha times what it
+    scores after one word less, down to count(word) / N; at a text's start there are as many
+    words before as there are, and its first word scores count / N.
     Null, empty and blank texts have 0 words and a null score. Every input row gives one row;
     repeated rows count each time. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     groups = max(partitions_for(spark), -(-total // GROUP_BYTES))
+    parts = max(partitions_for(spark), -(-total // PART_BYTES))
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # Both passes read one shuffle of the texts.
     dealt = narrow.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).repartition(groups, "grp")
-    sent = dealt.groupBy("grp").applyInArrow(lambda rows: pa.Table.from_batches(list(_send(rows, groups))), _SENT)
-    counted = sent.groupBy("part").applyInArrow(_count, "part int, grp long, word_totals binary, pair_totals binary")
-    scored = dealt.groupBy("grp").cogroup(counted.groupBy("grp")).applyInArrow(lambda a, b: _score(a, b, groups, alpha, min_pair), f"doc_id {kind}, n_words long, logs double, lower double")
-    parts = checkpointed(scored)
-    words = parts.agg(F.sum("n_words")).first()[0] or 1
+    sent = dealt.groupBy("grp").applyInArrow(tidy_group(lambda rows: _send(rows, parts, order)), "part int, grp long, grams binary, counts binary")
+    counted = sent.groupBy("part").applyInArrow(tidy_group(_count), "part int, grp long, totals binary")
+
+    def score(texts: pa.Table, totals: pa.Table) -> pa.Table:
+        out = _score(texts, totals, alpha, min_pair, order)
+        if texts.nbytes > 1 << 20:
+            hand_back()
+        return out
+
+    scored = dealt.groupBy("grp").cogroup(counted.groupBy("grp")).applyInArrow(score, f"doc_id {kind}, n_words long, logs double, lower double")
+    found = checkpointed(scored)
+    words = found.agg(F.sum("n_words")).first()[0] or 1
     mean = (F.col("logs") - F.col("lower") * F.log(F.lit(float(words)))) / F.col("n_words")
-    return parts.select("doc_id", "n_words", F.when(F.col("n_words") > 0, mean).alias("score"))
+    return found.select("doc_id", "n_words", F.when(F.col("n_words") > 0, mean).alias("score"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
