@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder is kept; a folder is made only where none is set (local tests)."""
+    """The cluster's shared folder is kept; one is made only where none is set and all runs in one process (local tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="glyphmill-checkpoint-"))
 
 
@@ -129,19 +132,20 @@ def small_slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4 <<
             begin = end
 
 
-#: Texts longer than this are not taken into a training sample (they are scored like all others).
-LONGEST_TRAINING_TEXT = 200_000
+#: Texts of more bytes are left out of the labelled samples (they are scored like all others); with the rows of a sample this bounds what the driver holds.
+LONGEST_TRAINING_TEXT = 50_000
 
 
 #: Classes whose hash thresholds are spelt out in the plan, at most; more come by a join.
 SPELT_CLASSES = 64
 
 
-def class_sample(rows: DataFrame, per_class: int, salt: str, most_classes: int | None = 64, most_rows: int | None = None) -> DataFrame:
+def class_sample(rows: DataFrame, per_class: int, salt: str, most_classes: int | None = 64, most_rows: int | None = None, most_chars: int | None = None) -> DataFrame:
     """At most ``per_class`` rows of each of the most frequent labels, none held out.
 
     ``most_classes`` None takes every label. With ``most_rows``, ``per_class`` shrinks as labels
-    grow, so that no more rows than that are taken, but never below one row a label.
+    grow, so that no more rows than that are taken, but never below one row a label. With
+    ``most_chars``, each row's text is cut so that all of them together have no more characters.
     ``rows`` has doc_id and label and may have more; null labels are left out. Rows are taken by
     the smallest hashes of their ids, so the sample does not depend on order or partitions. A
     hash threshold leaves about twice the sample of each class before anything is ranked.
@@ -164,12 +168,16 @@ def class_sample(rows: DataFrame, per_class: int, salt: str, most_classes: int |
         limits = rows.sparkSession.createDataFrame(most, f"label {kind}, most_h long")
         hashed = hashed.join(F.broadcast(limits), "label").where("h <= most_h").drop("most_h").select(hashed.columns)
     order = Window.partitionBy("label").orderBy("h", "doc_id")
-    return hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).drop("h", "place")
+    taken = hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).drop("h", "place")
+    if most_chars is None:
+        return taken
+    rows_at_most = sum(min(found["count"], per_class) for found in counted)
+    return taken.withColumn("text", F.substring("text", 1, max(most_chars // max(rows_at_most, 1), 1)))
 
 
-def texts_and_labels(rows: DataFrame) -> list[tuple[str, object]]:
-    """The (text, label) pairs of a bounded sample, in an order of their own."""
-    usable = rows.where(F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST_TRAINING_TEXT))
+def texts_and_labels(rows: DataFrame, longest: int | None = None) -> list[tuple[str, object]]:
+    """The (text, label) pairs of a bounded sample, in an order of their own; with ``longest``, of texts of no more bytes."""
+    usable = rows.where(F.col("text").isNotNull() & (F.lit(True) if longest is None else F.octet_length("text") <= longest))
     return sorted(((r["text"], r["label"]) for r in usable.select("text", "label").collect()), key=lambda r: (str(r[1]), r[0]))
 
 
@@ -177,9 +185,10 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_class
     """A bounded sample of (text, label): labelled ids are sampled first and sent to the texts.
 
     At most 2 * ``per_class`` ids are broadcast. Labels of unknown or null ids and null labels
-    are left out.
+    are left out. An id on several rows of labels counts once if they agree, and not at all if they don't.
     """
-    marked = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null")
+    every = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    marked = every.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     picked = class_sample(marked, per_class, label_col, 2).withColumnRenamed("doc_id", "labelled_id")
     texts = docs.select("doc_id", "text")
-    return texts_and_labels(texts.join(F.broadcast(picked), texts.doc_id == picked.labelled_id))
+    return texts_and_labels(texts.join(F.broadcast(picked), texts.doc_id == picked.labelled_id), LONGEST_TRAINING_TEXT)

@@ -17,16 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import LONGEST_TRAINING_TEXT, bounded_batches, class_sample, held_out, small_slices, table, text_column, texts_and_labels, tidy
+from glyphmill.llm.common import bounded_batches, class_sample, held_out, small_slices, table, text_column, texts_and_labels, tidy
 
 UNKNOWN = "und"
 #: Training texts of each language and of all, at most, taken by the smallest id hashes. Every
 #: language is learnt: with more of them each has fewer texts, but one at least.
 SAMPLE_PER_LANGUAGE, SAMPLE = 800, 51_200
-#: Words and n-grams kept in the model, at most; the languages' most frequent ones come in turn.
-MAX_WORDS, MAX_GRAMS = 200_000, 100_000
+#: Characters of all training texts, at most, which bounds the model too: with more of them each gives less.
+SAMPLE_CHARS = 16_000_000
 #: Cells of a table that is held with all its zero counts, at most.
-DENSE_CELLS = 64 * MAX_WORDS
+DENSE_CELLS = 12_800_000
 LONGEST = 4
 BACKOFF = np.log(0.4)
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -95,7 +95,11 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """Maximal runs of letters, in lower case; other numerals than digits are no letters either."""
+    words = _WORDS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for word in words for part in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def train(rows: list[tuple[str, str]]) -> Model:
@@ -112,18 +116,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
                 for at in range(len(marked) - size + 1):
                     grams[marked[at : at + size]] += n
 
-    def top(counts: list[Counter], most: int, least: int) -> list[str]:
-        total: Counter = Counter()
-        for c in counts:
-            total.update(c)
-        turn: dict[str, int] = {}
-        for c in counts:
-            own = sorted((k for k in c if total[k] >= least), key=lambda k: (-c[k], k))
-            for rank, k in enumerate(own):
-                turn[k] = min(rank, turn.get(k, rank))
-        return sorted(turn, key=lambda k: (turn[k], -total[k], k))[:most]
-
-    words, grams = top(of_words, MAX_WORDS, 3), top(of_grams, MAX_GRAMS, 2)
+    words, grams = (sorted(set().union(*counts)) for counts in (of_words, of_grams))
     size = max(len(languages), 1)
     return Model(
         languages,
@@ -138,12 +131,10 @@ def train(rows: list[tuple[str, str]]) -> Model:
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """A bounded sample of (text, lang) rows of every language that has text with a letter; none held out.
 
-    A text too long for a sample gives its first part, so that a language of long texts is learnt too.
+    A text too long for the sample gives its first part, so that a language of long texts is learnt too.
     """
-    text = F.col(text_col)
-    part = F.when(F.octet_length(text) > LONGEST_TRAINING_TEXT, F.substring(text, 1, LONGEST_TRAINING_TEXT // 4)).otherwise(text)
-    rows = docs.select(F.col(id_col).alias("doc_id"), part.alias("text"), F.col(lang_col).alias("label")).where(F.col("text").rlike(r"\p{L}"))
-    return texts_and_labels(class_sample(rows, SAMPLE_PER_LANGUAGE, "language", None, SAMPLE))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")).where(F.col("text").rlike(r"\p{L}"))
+    return texts_and_labels(class_sample(rows, SAMPLE_PER_LANGUAGE, "language", None, SAMPLE, SAMPLE_CHARS))
 
 
 class Scorer:
