@@ -1,14 +1,16 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A document's terms are the trigrams of its character shapes (letter case, digits, white space
-and each punctuation mark) and how much its words repeat. Log counts weighted by inverse
-document frequency are projected on the leading singular vectors of a bounded labelled sample.
+A document's terms are its words (hashed, in lower case), the trigrams of its character shapes
+(letter case, digits, white space and each punctuation mark) and how much its words repeat.
+Log counts weighted by inverse document frequency are projected on the leading singular vectors of a bounded labelled sample.
 The sample's vectors are broadcast; cosines of every document with all of them are computed in
 blocks, and the nearest ones vote with their similarity.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +27,10 @@ DIMENSIONS = 48
 NEIGHBOURS = 15
 HASHED = 1024
 BINS = 10
+#: Buckets of words, and their weight beside that of the other terms.
+WORDS, WORD_WEIGHT = 2048, 0.5
 THRESHOLD = 0.3
-TERMS = HASHED + 4 * BINS
+TERMS = HASHED + 4 * BINS + WORDS
 
 
 #: Shapes: 1 letter or other, 2 capital, 3 digit, 4 line end, 5 blank; marks from 6 on, each its own.
@@ -62,6 +66,9 @@ def terms(raw: bytes) -> np.ndarray:
     shares = (len(set(words)) / len(words), alike / max(len(words) - 1, 1), len(set(lines)) / len(lines), float((last <= 3).mean()))
     for k, share in enumerate(shares):
         out[HASHED + k * BINS + _bin(share)] = 20
+    counts = Counter(raw.lower().split())
+    buckets = np.fromiter(map(zlib.crc32, counts), np.int64, len(counts)) % WORDS
+    out[HASHED + 4 * BINS :] = np.bincount(buckets, np.fromiter(counts.values(), np.float64, len(counts)), WORDS)
     return out
 
 
@@ -78,7 +85,7 @@ class Model:
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         """Unit latent vectors of term counts; zero for a text without terms."""
-        latent = (np.log1p(counts) * self.weights) @ self.axes
+        latent = (np.log1p(counts).astype(np.float64) * self.weights) @ self.axes
         norm = np.sqrt((latent**2).sum(axis=1, keepdims=True))
         return latent / np.where(norm > 0, norm, 1)
 
@@ -86,7 +93,8 @@ class Model:
         """The labels of the nearest neighbours, weighted by cosine; ties at the last place all vote."""
         if not len(self.labels):
             return np.full(len(latent), self.prior)
-        cosine = np.round(latent @ self.neighbours.T, 4)
+        # Past nine places a product depends on the batch that it is computed in.
+        cosine = np.round(latent @ self.neighbours.T, 9)
         k = min(NEIGHBOURS, cosine.shape[1])
         last = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k][:, None]
         weight = np.where(cosine >= last, np.maximum(cosine, 0), 0).astype(np.float64)
@@ -102,11 +110,12 @@ def train(rows: list[tuple[str, int]]) -> Model:
     seen = (counts > 0).sum(axis=0)
     weights = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + 0.1
     weights[seen == 0] = 0
+    weights[HASHED + 4 * BINS :] *= WORD_WEIGHT
     matrix = np.log1p(counts) * weights
     values, vectors = np.linalg.eigh((matrix.T @ matrix).astype(np.float64))
-    axes = vectors[:, np.argsort(-values)[:DIMENSIONS]].astype(np.float32)
-    model = Model(weights, axes, np.zeros((0, axes.shape[1]), np.float32), np.array([y for _, y in rows], np.float64))
-    model.neighbours = model.project(counts).astype(np.float32)
+    axes = vectors[:, np.argsort(-values)[:DIMENSIONS]]
+    model = Model(weights, axes, np.zeros((0, axes.shape[1])), np.array([y for _, y in rows], np.float64))
+    model.neighbours = model.project(counts)
     return model
 
 
