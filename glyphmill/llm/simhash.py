@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import bounded_batches, byte_view, checkpointed, small_slices, table, text_column, tidy
 
 SEED = 42
-#: Fingerprints that the upper tree is fitted on, at most.
-TREE_SAMPLE = 8192
+#: Fingerprints that the upper tree is fitted on: at least, for each shard, and at most.
+TREE_SAMPLE, SAMPLE_A_SHARD, LARGEST_SAMPLE = 8192, 8, 1 << 20
 #: Distinct fingerprints aimed at in one shard of the upper tree.
 SHARD_SIZE = 8000
 #: Points of a shard that are compared with each other directly.
@@ -193,10 +193,12 @@ def links(distinct: DataFrame, radius: int = 3, blocks: int = 2) -> DataFrame:
     """
     spark = distinct.sparkSession
     count = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).toArrow().column("fp").to_numpy().view(np.uint64)
     block_radius, of_block = radius // blocks, masks(blocks)
     leaves = max(1, -(-count // SHARD_SIZE))
-    leaves = min(leaves, max(1, len(sample) // 8))
+    # The sample grows with the shards (to 8 MB, enough for a billion distinct fingerprints); it only decides where pairs meet.
+    size = min(max(TREE_SAMPLE, SAMPLE_A_SHARD * leaves), LARGEST_SAMPLE)
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(size).toArrow().column("fp").to_numpy().view(np.uint64)
+    leaves = min(leaves, max(1, len(sample) // SAMPLE_A_SHARD))
     trees = spark.sparkContext.broadcast([fit_tree(sample, m, block_radius, leaves) for m in of_block])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,14 +217,15 @@ def links(distinct: DataFrame, radius: int = 3, blocks: int = 2) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(solve, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root (its component's smallest node) for every node of the edges (a, b).
 
-    Alternates large-star and small-star steps until no edge changes. Both steps only take
+    Alternates large-star and small-star steps until no edge changes, which takes a number of
+    rounds that grows with the square of the logarithm of the nodes at most. Both steps only take
     minima and distinct edges; the neighbours of a node are never gathered in one place.
     """
     current = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(rounds):
+    while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
@@ -233,17 +236,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         current = after
         if done:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, blocks: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, blocks: int = 2, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable by links), a row for each input row.
 
+    Links are those of the fingerprints of ``shingle`` words within ``radius`` bits. A wider radius asks for
+    more ``blocks``, so that radius // blocks stays small beside the 64 // blocks bits of each.
     Null and blank texts share fingerprint 0 and link like others. Rows with a null id take part;
     a component whose ids are all null has a null component_id. An empty table gives no rows.
     Equal texts meet as one fingerprint before anything is compared.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col))
+    prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(links(distinct, radius, blocks))
     rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

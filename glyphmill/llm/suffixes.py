@@ -34,6 +34,8 @@ _BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint6
 _FACTOR = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)]
 #: Text bytes aimed at for each group of suffixes.
 GROUP_BYTES = 16 << 20
+#: Text bytes whose anchors and marks meet in one part, about.
+PART_BYTES = 32 << 20
 #: Anchors, and bytes of strings with their objects, that a task holds before it passes them on.
 HELD_ANCHORS = 1_500_000
 HELD_BYTES = 24 << 20
@@ -137,10 +139,8 @@ def _anchor_rows(texts: np.ndarray, hashes: np.ndarray, groups: int) -> Iterator
     cut = np.arange(groups + 1)
     own, both, done = np.searchsorted(group, cut), np.searchsorted(shared_group, cut), np.searchsorted(done_group, cut)
     rows: list[list] = [[] for _ in _ANCHOR_NAMES]
-    for g in range(groups):
+    for g in np.flatnonzero(np.diff(own) + np.diff(both) + np.diff(done)).tolist():
         a, b, c, d, e, f = own[g], own[g + 1], both[g], both[g + 1], done[g], done[g + 1]
-        if b == a and d == c and f == e:
-            continue
         first, size = _lengths(texts[a:b])
         done_first, done_size = _lengths(done_text[e:f])
         values = (g, _pack(tag[a:b]), texts[a:b][first].tobytes(), size.astype(np.int32).tobytes(), _pack(shared_tag[c:d]), done_code[e:f].tobytes(), done_text[e:f][done_first].tobytes(), done_size.astype(np.int32).tobytes())
@@ -266,10 +266,8 @@ class _Strings:
         cut = np.arange(self.groups + 1)
         own, settled = np.searchsorted(group, cut), np.searchsorted(done_group, cut)
         rows: list[list] = [[] for _ in _STRING_NAMES]
-        for g in range(self.groups):
+        for g in np.flatnonzero(np.diff(own) + np.diff(settled)).tolist():
             part, d = entries[own[g] : own[g + 1]], done[settled[g] : settled[g + 1]]
-            if not part and not len(d):
-                continue
             longs = lambda k: np.array([e[k] for e in part], np.int64).tobytes()  # noqa: E731, B023
             values = (
                 g,
@@ -427,8 +425,8 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    parts = partitions_for(spark)
-    groups = max(parts, -(-total // GROUP_BYTES))
+    partitions = partitions_for(spark)
+    parts, groups = (max(partitions, -(-total // size)) for size in (PART_BYTES, GROUP_BYTES))
     narrow = docs.select(key.alias("doc"), text.alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,8 +440,9 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 texts.append(keys[of[use]])
                 hashes.append(found[use])
                 held += int(use.sum())
-            if held >= HELD_ANCHORS:
-                yield from _anchor_rows(np.concatenate(texts), np.concatenate(hashes), groups)
+            if held >= HELD_ANCHORS or len(seen) >= HELD_ANCHORS:
+                if held:
+                    yield from _anchor_rows(np.concatenate(texts), np.concatenate(hashes), groups)
                 texts, hashes, held, seen = [], [], 0, set()
         if held:
             yield from _anchor_rows(np.concatenate(texts), np.concatenate(hashes), groups)
@@ -460,7 +459,7 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Both joins read one shuffle of the texts: their sides of it are the same plan, with the number of
     # partitions that joins ask for themselves (with another one, the second join deals the texts anew).
     columns = docs.columns
-    keyed = docs.withColumn("_doc", key).withColumn("_t", F.xxhash64(text)).repartition(parts, "_doc", "_t")
+    keyed = docs.withColumn("_doc", key).withColumn("_t", F.xxhash64(text)).repartition(partitions, "_doc", "_t")
     asked = keyed.join(wanted, (F.col("_doc") == F.col("w_doc")) & (F.col("_t") == F.col("w_t")))
     text_at = columns.index(text_col)
 
