@@ -167,18 +167,18 @@ def _score(docs: pa.Table, counted: pa.Table, alpha: float, min_pair: int, order
     batch = docs.combine_chunks()
     text, place, found = grams(batch, order)
     n = batch.num_rows
-    keys = np.unique(_keys(place, found))
+    _, inverse = np.unique(_keys(place, found), return_inverse=True)
     parts = np.argsort(np.array(counted.column("part").to_pylist(), np.int64), kind="stable").tolist()
     packed = counted.column("totals").to_pylist()
     totals = np.concatenate([np.zeros(0, np.int64), *[_expand(packed[k]) for k in parts]])
-    of = lambda h: totals[np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))]
     value, lower = np.zeros(len(text)), np.ones(len(text))
     if len(text):
-        log = np.log(np.maximum(of(found[0]), 1).astype(np.float64))
-        value, below = log.copy(), log
+        log = np.log(totals[inverse[: len(text)]].astype(np.float64))
+        value, below, begin = log.copy(), log, len(text)
         for size in range(2, order + 1):
             inside = np.flatnonzero(place >= size - 1)
-            total = of(found[size - 1][inside])
+            total = totals[inverse[begin : begin + len(inside)]]
+            begin += len(inside)
             here = np.log(np.maximum(total, 1).astype(np.float64))
             seen = total >= min_pair
             at = inside[seen]
