@@ -13,7 +13,26 @@ _LITERALS = re.compile(
 _ITEM = re.compile(r"\b(?P<pub>pub(?:\s*\([^)]*\))?\s+)?(?P<mods>(?:(?:default|async|unsafe|const|extern)\s+)*)(?P<word>struct|enum|trait|fn|impl)\b(?:\s+(?P<name>(?:r\#)?[A-Za-z_]\w*))?")
 
 
+_MACRO = re.compile(r"\b[A-Za-z_]\w*!\s*(?:[A-Za-z_]\w*\s*)?(?=[({\[])")
+_BRACKETS = re.compile(r"[(){}\[\]]")
+
+
 def _blanked(text: str) -> str:
+    """``text`` without literals, comments and what is inside macro calls and definitions (tokens, not items)."""
+    found = _without_literals(text)
+    at = 0
+    while match := _MACRO.search(found, at):
+        at, depth = match.end(), 0
+        for mark in _BRACKETS.finditer(found, match.end()):
+            depth += 1 if mark[0] in "({[" else -1
+            if not depth:
+                found = found[: match.end() + 1] + re.sub(r"[^\n]", " ", found[match.end() + 1 : mark.start()]) + found[mark.start() :]
+                at = mark.end()
+                break
+    return found
+
+
+def _without_literals(text: str) -> str:
     out, at = [], 0
     while match := _LITERALS.search(text, at):
         end = match.end()

@@ -83,3 +83,9 @@ def identifiers(text: Column) -> Column:
 
 def single_line(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"\s+", " ")
+
+
+def parse_timestamp(text: Column) -> Column:
+    """The time of an RFC 3339 text (date, time, optional fraction, offset or Z); null for any other text."""
+    shape = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+    return F.when(text.rlike(shape), F.try_to_timestamp(F.upper(text)))

@@ -6,18 +6,49 @@ import json
 from typing import TextIO
 
 from glyphmill import __version__
+from glyphmill.schema import MATCH_TYPES
 from glyphmill.service import Service, to_json
 
 PROTOCOL = "2024-11-05"
-_STRING = {"type": "string"}
+
+
+def _text(what: str) -> dict:
+    return {"type": "string", "description": what}
+
+
+def _object(required: list[str] | None = None, **properties: dict) -> dict:
+    return {"type": "object", "properties": properties, "required": list(properties) if required is None else required}
+
+
+def _list(items: dict) -> dict:
+    return {"type": "array", "items": items}
+
+
+_STRING, _COUNT, _MAYBE = {"type": "string"}, {"type": "integer", "minimum": 0}, {"type": ["string", "null"]}
+_PATH = _text("The repository's folder, or any path in it.")
+_RESULT = _object(kind=_STRING, name=_STRING, path=_STRING, line=_COUNT, signature=_STRING, doc=_MAYBE, snippet=_STRING, score={"type": "number"}, match_type={"type": "string", "enum": list(MATCH_TYPES)})
+_SYMBOL = _object(name=_STRING, kind=_STRING, signature=_STRING, doc=_MAYBE, file=_STRING, line=_COUNT)
+_MODULE = _object(name=_STRING, path=_STRING, files=_list(_STRING), symbols=_list(_SYMBOL), depends_on=_list(_STRING))
+_STATS = _object(**dict.fromkeys(("files_scanned", "files_indexed", "files_skipped", "symbols_extracted", "chunks_embedded", "duration_ms"), _COUNT))
 TOOLS = [
-    {"name": "index_repo", "description": "Index a repository, in full or what changed.", "inputSchema": {"type": "object", "properties": {"path": _STRING, "full": {"type": "boolean"}}, "required": ["path"]}},
+    {
+        "name": "index_repo",
+        "description": "Index a repository, in full or what changed.",
+        "inputSchema": _object(["path"], path=_PATH, full={"type": "boolean", "description": "Index every file anew instead of what changed since the last run."}),
+        "outputSchema": _object(status=_STRING, repo_root=_STRING, branch=_STRING, stats=_STATS, languages={"type": "object", "additionalProperties": _COUNT}),
+    },
     {
         "name": "search_repo",
         "description": "Search the symbols of a repository by words and by meaning.",
-        "inputSchema": {"type": "object", "properties": {"query": _STRING, "path": _STRING, "limit": {"type": "integer", "minimum": 0}}, "required": ["query", "path"]},
+        "inputSchema": _object(["query", "path"], query=_text("Words to look for; all of them must occur for a hit by words."), path=_PATH, limit=_COUNT | {"description": "Results at most; 10 if not given."}),
+        "outputSchema": _object(query=_STRING, results=_list(_RESULT), total_results=_COUNT, search_mode=_STRING),
+    },
+    {
+        "name": "repo_map",
+        "description": "Modules, symbols and dependencies of a repository.",
+        "inputSchema": _object(["path"], path=_PATH, filter=_text("Only files at or under this path within the repository.")),
+        "outputSchema": _object(repo_root=_STRING, branch=_STRING, modules=_list(_MODULE)),
     },
-    {"name": "repo_map", "description": "Modules, symbols and dependencies of a repository.", "inputSchema": {"type": "object", "properties": {"path": _STRING, "filter": _STRING}, "required": ["path"]}},
 ]
 
 

@@ -39,6 +39,9 @@ INDEX_METADATA = _struct(
     "repo_id string, branch string, status string, last_indexed_at timestamp, last_commit_sha string?, last_seen_commit_sha string?, "
     "file_count int, symbol_count int, embedding_model string, last_error string?"
 )
+# The stored inverted index: one row a token occurrence, and the length of every unit.
+POSTINGS = _struct("token string, rowid long, field string, pos int, n_tok long")
+LENGTHS = _struct("rowid long, n_tok long")
 MIGRATIONS = _struct("version int, name string, applied_at timestamp")
 SCHEMA_VERSIONS = ((1, "initial tables"), (2, "index status and embedding model"))
 

@@ -9,6 +9,8 @@ import logging
 import os
 import threading
 import time
+import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -17,7 +19,7 @@ from pyspark.sql import SparkSession
 from glyphmill.functions.embed import Embedder
 from glyphmill.functions.ids import store_name
 from glyphmill.plans import index, repomap, search
-from glyphmill.schema import NotIndexedError, SearchConfig
+from glyphmill.schema import EngineError, NotIndexedError, SearchConfig, StorageError
 from glyphmill.sources.git import RepoContext, current_commit, repo_context
 from glyphmill.sources.store import Store
 
@@ -25,6 +27,10 @@ log = logging.getLogger(__name__)
 # Seconds.
 STALE_MARKER, POLL, LONGEST_WAIT, STALE_INDEX = 300, 0.1, 60, 300
 SEARCH_MODE = "hybrid"
+# How often a search is tried, and the seconds between.
+SEARCH_TRIES, TRY_AGAIN = 10, 0.1
+#: Seconds between two signs of life of a running index.
+HEARTBEAT = 30
 
 
 @dataclass
@@ -84,29 +90,51 @@ class Service:
     def _marker(self, context: RepoContext) -> Path:
         return home() / "markers" / f"{store_name(context.root)}.indexing"
 
-    def _wait(self, context: RepoContext) -> None:
-        """Wait while another process indexes; a marker that is too old counts as left behind."""
+    def _wait(self, context: RepoContext) -> bool:
+        """Wait while another process indexes; false if it still does. A marker without signs of life counts as left behind."""
         marker, until = self._marker(context), time.monotonic() + LONGEST_WAIT
         while time.monotonic() < until:
             try:
                 if time.time() - marker.stat().st_mtime > STALE_MARKER:
                     marker.unlink(missing_ok=True)
-                    return
+                    return True
             except FileNotFoundError:
-                return
+                return True
             time.sleep(POLL)
+        return not marker.exists()
 
     @contextlib.contextmanager
     def _marked(self, context: RepoContext):
-        marker = self._marker(context)
+        """Hold the repository's marker: created exclusively, kept alive, and removed only by its owner."""
+        marker, owner = self._marker(context), uuid.uuid4().hex
         marker.parent.mkdir(parents=True, exist_ok=True)
-        self._wait(context)
-        with contextlib.suppress(FileExistsError):
-            os.close(os.open(marker, os.O_CREAT | os.O_EXCL))
+        while True:
+            if not self._wait(context):
+                raise StorageError(f"{context.root} is being indexed by another process")
+            try:
+                handle = os.open(marker, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+                break
+            except FileExistsError:
+                continue
+        os.write(handle, owner.encode())
+        os.close(handle)
+        own = lambda: marker.exists() and marker.read_text() == owner
+        ended = threading.Event()
+
+        def live() -> None:
+            while not ended.wait(HEARTBEAT):
+                with contextlib.suppress(OSError):
+                    if own():
+                        os.utime(marker)
+
+        threading.Thread(target=live, daemon=True).start()
         try:
             yield
         finally:
-            marker.unlink(missing_ok=True)
+            ended.set()
+            with contextlib.suppress(OSError):
+                if own():
+                    marker.unlink(missing_ok=True)
 
     def index(self, root: str | Path, full: bool = False) -> IndexResponse:
         context = repo_context(root)
@@ -135,18 +163,40 @@ class Service:
             self._index(context, full=False)
         return store
 
+    def _tried(self, run: Callable[[], list[dict]]) -> list[dict]:
+        """What ``run`` gives; a read that fails, as when files go during an index run, is tried again."""
+        for attempt in range(SEARCH_TRIES):
+            try:
+                return run()
+            except EngineError:
+                raise
+            except Exception:
+                if attempt == SEARCH_TRIES - 1:
+                    raise
+                log.info("a search failed and is tried again", exc_info=True)
+                time.sleep(TRY_AGAIN)
+        return []
+
     def search(self, root: str | Path, query: str, limit: int = 10, refresh: bool = True) -> SearchResponse:
-        """The best units for a query. Without ``refresh``, a branch that holds no index is an error."""
+        """The best units for a query. Without ``refresh``, a branch that holds no index is an error.
+
+        Searches read a published version, so they run beside an index run of this or another process.
+        """
         context = repo_context(root)
-        with self._lock(context.root):
-            self._wait(context)
-            store = self._refreshed(context) if refresh else self.store(context)
-            if not refresh and store.metadata_row(context.repo_id, context.branch) is None and not store.has_symbols(context.repo_id, context.branch):
+        if refresh:
+            with self._lock(context.root):
+                store = self._refreshed(context)
+        else:
+            store = self.store(context)
+            if store.metadata_row(context.repo_id, context.branch) is None and not store.has_symbols(context.repo_id, context.branch):
                 raise NotIndexedError(f"{context.root} ({context.branch}) is not indexed; run `index` first")
+
+        def run() -> list[dict]:
             # Statistics are those of the whole store, hits those of the branch.
-            found = search.search(store.units(), query, SearchConfig(limit=limit), self.embedder, context.repo_id, context.branch)
-            rows = [r.asDict() for r in found.drop("rowid", "rk").collect()]
-        return SearchResponse(query, str(context.root), context.branch, rows)
+            found = search.search(store.units(), query, SearchConfig(limit=limit), self.embedder, context.repo_id, context.branch, store.index())
+            return [r.asDict() for r in found.drop("rowid", "rk").collect()]
+
+        return SearchResponse(query, str(context.root), context.branch, self._tried(run))
 
     def repo_map(self, root: str | Path, path_filter: str | None = None) -> repomap.RepoMap:
         context = repo_context(root)
