@@ -291,6 +291,33 @@ def _q_vector(spark, sf, k=10):
 SQL_VECTOR = f"WITH {SQL_DOCS}, {SQL_VECTORS}, cosines AS (SELECT q.query_id, u.rowid, round({_sql_cosine('u.embedding', 'q.query_vector')}, 6) AS score FROM units u, query_vectors q WHERE u.embedding IS NOT NULL)\n"
 
 
+def _every_50th(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """embeddings as units, and every row whose id is divisible by 50 as a query."""
+    rows = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("rowid"), "embedding")
+    return rows, rows.where("rowid % 50 = 0").select(F.col("rowid").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def _q_vector_batch(spark, sf):
+    rows, queries = _every_50th(spark, sf)
+    return similarity.search_vector(rows, queries, 10)
+
+
+def _q_vector_index(spark, sf):
+    rows, queries = _every_50th(spark, sf)
+    index = similarity.VectorIndex.fit(rows)
+    return index.search(index.assign(rows), queries, 10)
+
+
+def _q_probe(spark, sf):
+    """Whether each of some branches (two of which do not exist) has symbols."""
+    asked = spark.createDataFrame([(b,) for b in PROBED], "branch string")
+    there = units_docs(spark, sf).select("branch").distinct().withColumn("found", F.lit(True))
+    return asked.join(there, "branch", "left").select("branch", F.coalesce("found", F.lit(False)).alias("has_symbols"))
+
+
+PROBED = ("de", "en", "fr", "no such branch", "")
+
+
 def _q_per_label(spark, sf):
     rows, query = _table(spark, sf, "embeddings"), _query_vectors(spark, sf)
     scored = rows.join(F.broadcast(query), F.size("query_vector") >= 0).select("query_id", "vec_id", "label", F.round(vectors.cosine_similarity(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
@@ -391,6 +418,44 @@ def _q_extract(language: str):
     return run
 
 
+# What the sources hold: name, kind, signature, doc, parent, first and last line, and the begin and end of the content.
+_EXPECTED = {
+    "rust": [
+        ("Point", "struct", "pub struct Point", "A point.", None, 2, 2, "pub struct Point", "x: i32 }"),
+        ("norm", "method", "pub fn norm(&self) -> i32", "Its norm.", "Point", 6, 6, "pub fn norm", "self.x }"),
+        ("raw", "method", "fn raw(&self) -> &str", None, "Point", 7, 7, "fn raw", '"{" }'),
+        ("Shape", "trait", "pub trait Shape", None, None, 10, 13, "pub trait Shape", "self.area() }\n}"),
+        ("area", "method", "fn area(&self) -> f64", None, "Shape", 11, 11, "fn area", "f64;"),
+    ],
+    "typescript": [
+        ("Client", "class", "class Client", "A client.", None, 4, 10, "class Client", "base: string) {}\n}"),
+        ("get", "method", "public async get(path: string): Promise<string>", None, "Client", 6, 8, "public async get", "`;\n  }"),
+        ("constructor", "method", "constructor(readonly base: string)", None, "Client", 9, 9, "constructor", "{}"),
+        ("Id", "constant", "type Id", None, None, 11, 11, "type Id", "number;"),
+        ("Options", "interface", "interface Options", None, None, 12, 12, "interface Options", "boolean }"),
+        ("run", "function", "function run(o: Options): Id", None, None, 14, 14, "function run", "1; }"),
+    ],
+    "csharp": [
+        ("Job", "class", "public class Job", "A job.", None, 6, 13, "public class Job", "On, Off }\n    }"),
+        ("Name", "constant", "public string Name", None, "Job", 8, 8, "public string Name", '"}";'),
+        ("Run", "method", "public int Run(int times)", None, "Job", 11, 11, "public int Run", "times * n;"),
+        ("State", "enum", "public enum State", None, "Job", 12, 12, "public enum State", "Off }"),
+        ("IJob", "interface", "public interface IJob", None, None, 14, 14, "public interface IJob", "times); }"),
+    ],
+}
+
+
+def _sql_extract(language: str) -> str:
+    ((path, source),) = [(p, src) for p, lang, src in SOURCES if lang == language]
+    quoted = lambda x: "NULL::VARCHAR" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = []
+    for place, (name, kind, signature, doc, parent, first, last, begin, end) in enumerate(_EXPECTED[language]):
+        at = source.index(begin)
+        content = source[at : source.index(end, at) + len(end)]
+        rows.append(f"({', '.join(quoted(x) for x in (path, language, name, kind, signature, doc, content, parent))}, {first}::INTEGER, {last}::INTEGER, {place}::INTEGER)")
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(file_path, language, name, kind, signature, doc, content, parent, line_start, line_end, position)"
+
+
 def _q_sketch(spark, sf):
     docs = _table(spark, sf, "documents")
     made = with_embedding(docs.select("doc_id", "text"), SketchEmbedder(), F.col("text"))
@@ -447,6 +512,12 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
             r"""SELECT item_id, CASE WHEN len(w) > 0 THEN array_to_string(list_transform(w, lambda x: '"' || replace(x, '"', '""') || '"'), ' ') END AS phrases FROM (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)""",
         ),
         "vector_cosine_topk": (_q_vector, SQL_VECTOR + f"SELECT query_id, rowid, score, rk FROM ({_sql_top('cosines', 'score DESC, rowid', 10)})"),
+        "vector_topk_batch": (
+            _q_vector_batch,
+            f"WITH cosines AS (SELECT q.vec_id AS query_id, u.vec_id AS rowid, round({_sql_cosine('u.embedding', 'q.embedding')}, 6) AS score FROM embeddings u, embeddings q WHERE q.vec_id % 50 = 0 AND u.embedding IS NOT NULL) "
+            f"SELECT query_id, rowid, score, rk FROM ({_sql_top('cosines', 'score DESC, rowid', 10)})",
+        ),
+        "vector_index_topk": (_q_vector_index, None),
         "vector_distance_score": (
             lambda s, sf: _q_vector(s, sf, 25).select("query_id", "rowid", F.round(vectors.distance_score(1 - F.col("score")), 6).alias("score")),
             SQL_VECTOR + f"SELECT query_id, rowid, round(1 / (1 + greatest(1 - score, 0)), 6) AS score FROM ({_sql_top('cosines', 'score DESC, rowid', 25)})",
@@ -503,6 +574,10 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
             lambda s, sf: units_docs(s, sf).groupBy("branch").agg(F.count(F.lit(1)).alias("n")).select("branch", (F.col("n") > 0).alias("has_symbols")),
             f"WITH {SQL_DOCS} SELECT branch, count(*) > 0 AS has_symbols FROM units GROUP BY branch",
         ),
+        "has_symbols_probe": (
+            _q_probe,
+            f"SELECT branch, branch IN (SELECT lang FROM documents) AS has_symbols FROM (VALUES {', '.join(f'({b!r})' for b in PROBED)}) t(branch)",
+        ),
         "list_branches": (lambda s, sf: units_docs(s, sf).select("repo_id", "branch").distinct(), f"WITH {SQL_DOCS} SELECT DISTINCT repo_id, branch FROM units"),
         "all_symbols": (
             lambda s, sf: units_docs(s, sf).where("branch = 'de'").select("file_path", "line_start", "name", "kind", "signature").orderBy("file_path", "line_start", "name"),
@@ -531,9 +606,9 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
             f"WITH last AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, CASE WHEN event_type IN ('error', 'signup') THEN true WHEN TIMESTAMP '{NOW}' - ts < INTERVAL 1440 MINUTE THEN false "
             "ELSE coalesce(CASE WHEN event_id % 3 <> 0 THEN md5(user_id::VARCHAR) END <> CASE WHEN event_id % 4 <> 0 THEN md5(event_type) END, false) END AS stale FROM last",
         ),
-        "extract_rust": (_q_extract("rust"), None),
-        "extract_ts": (_q_extract("typescript"), None),
-        "extract_csharp": (_q_extract("csharp"), None),
+        "extract_rust": (_q_extract("rust"), _sql_extract("rust")),
+        "extract_ts": (_q_extract("typescript"), _sql_extract("typescript")),
+        "extract_csharp": (_q_extract("csharp"), _sql_extract("csharp")),
         "fake_embedder": (_q_sketch, "SELECT doc_id, strlen(text)::BIGINT AS n_bytes, contains(text, 'pub')::BIGINT AS has_pub FROM documents"),
         "stream_ingest_foreachbatch": (_q_stream, "SELECT count(*) AS n_rows, count(DISTINCT sha256(text)) AS n_hashes FROM documents"),
         "event_windows": (_q_events, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"),

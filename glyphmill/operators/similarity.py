@@ -1,10 +1,18 @@
-"""Exact vector search, and an approximate one by hyperplane buckets."""
+"""Exact vector search in blocks, and approximate ones: an inverted-file index of measured recall, and hyperplane buckets.
+
+Exact search sends the queries to the rows; each task multiplies its rows with them in one
+product and gives on only the best rows that it has for each query.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +37,138 @@ def cosine_scores(units: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.select("query_id", "rowid", "name", cosine_similarity(F.col("embedding"), F.col("query_vector")).alias("score"))
 
 
-def search_vector(units: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """query_id, rowid, score (to 6 places) and rk of the k nearest units of each query; ties by rowid."""
-    rows = units if where is None else units.where(where)
-    scored = cosine_scores(rows, queries).withColumn("score", F.round("score", 6))
+def _matrix(column: pa.Array, wide: int) -> np.ndarray:
+    """Vectors of one length as unit rows of doubles; zero vectors stay zero, other lengths are an error."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if (lengths != wide).any():
+        raise ValueError(f"embedding dimension mismatch: {int(lengths[lengths != wide][0])} and {wide}")
+    rows = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), wide)
+    norms = np.sqrt((rows**2).sum(axis=1, keepdims=True))
+    return rows / np.where(norms > 0, norms, 1)
+
+
+def _best(scores: np.ndarray, rowids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, ties to smaller row ids."""
+    if len(scores) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        near = np.flatnonzero(scores >= least)
+    else:
+        near = np.arange(len(scores))
+    return near[np.lexsort((rowids[near], -scores[near]))[:k]]
+
+
+def _local_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rowid and score (to 6 places) of the k best rows of each Arrow batch for each of a bounded number of queries."""
+    given = queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vector").toArrow().combine_chunks()
+    vectors = given.column("query_vector").combine_chunks() if len(given) else pa.array([], pa.list_(pa.float32()))
+    if not len(given) or k <= 0:
+        return rows.sparkSession.createDataFrame([], "query_id long, rowid long, score double")
+    wide = len(vectors[0])
+    sent = rows.sparkSession.sparkContext.broadcast((given.column("query_id").to_numpy(), _matrix(vectors, wide), wide))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit, wide = sent.value
+        for batch in batches:
+            rowids = batch.column(0).to_numpy(zero_copy_only=False)
+            scores = np.round(_matrix(batch.column(1), wide) @ unit.T, 6) + 0.0
+            places = [_best(scores[:, q], rowids, k) for q in range(len(ids))]
+            sizes = [len(p) for p in places]
+            found = [scores[p, q] for q, p in enumerate(places)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(rowids[np.concatenate(places)]), pa.array(np.concatenate(found))], ["query_id", "rowid", "score"])
+
+    return rows.select(F.col("rowid").cast("long").alias("rowid"), "embedding").mapInArrow(run, "query_id long, rowid long, score double")
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("rowid"))
     return scored.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("query_id", "rowid", "score", "rk")
 
 
+def search_vector(units: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """query_id, rowid, score (to 6 places) and rk of the k nearest units of each query; ties by rowid."""
+    rows = (units if where is None else units.where(where)).where("embedding is not null")
+    count = queries.count()
+    blocks = 1 if count <= BROADCAST_QUERIES else -(-2 * count // BROADCAST_QUERIES)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [queries if blocks == 1 else queries.where(block == b) for b in range(blocks)]
+    return _ranked(reduce(DataFrame.union, [_local_top(rows, part, k) for part in parts]), k)
+
+
+#: Vectors that the lists of an index are fitted on, lists, and queries that its recall is measured with, at most.
+INDEX_SAMPLE, LISTS, TRIAL_QUERIES = 20_000, 1024, 200
+
+
+@dataclass
+class VectorIndex:
+    """An inverted file: every vector belongs to the list of its nearest center; a search reads the ``probes`` nearest lists."""
+
+    centers: np.ndarray
+    probes: int
+    measured_recall: float
+
+    @classmethod
+    def fit(cls, units: DataFrame, target: float = 0.95, k: int = 10, most_lists: int = LISTS) -> VectorIndex:
+        """Centers from a sample of at most INDEX_SAMPLE vectors (by hashes of their row ids), and as many probes as
+        trial queries of that sample need for a mean recall at k of ``target`` within it."""
+        rows = units.where("embedding is not null").select(F.col("rowid").cast("long").alias("rowid"), "embedding")
+        taken = rows.orderBy(F.xxhash64("rowid"), "rowid").limit(INDEX_SAMPLE).toArrow().combine_chunks()
+        if not len(taken):
+            return cls(np.zeros((1, 1)), 1, 1.0)
+        column = taken.column("embedding").combine_chunks()
+        sample = _matrix(column, len(column[0]))
+        rng = np.random.default_rng(0)
+        lists = min(most_lists, max(1, int(len(sample) ** 0.5)))
+        centers = sample[rng.choice(len(sample), lists, replace=False)]
+        for _ in range(8):
+            of = (sample @ centers.T).argmax(axis=1)
+            total = np.zeros_like(centers)
+            np.add.at(total, of, sample)
+            norms = np.sqrt((total**2).sum(axis=1, keepdims=True))
+            centers = np.where(norms > 0, total / np.where(norms > 0, norms, 1), centers)
+        of = (sample @ centers.T).argmax(axis=1)
+        trial = rng.choice(len(sample), min(TRIAL_QUERIES, len(sample)), replace=False)
+        # The rank of the list that holds each of a trial query's true neighbours: with that many probes it is found.
+        ranks = []
+        for q in trial.tolist():
+            scores = sample @ sample[q]
+            scores[q] = -2
+            true = np.argsort(-scores, kind="stable")[: min(k, len(sample) - 1)]
+            ranks.append(np.argsort(np.argsort(-(centers @ sample[q]), kind="stable"))[of[true]])
+        every = np.concatenate(ranks) if ranks else np.zeros(1, np.int64)
+        recalls = [(every < n).mean() if len(every) else 1.0 for n in range(1, lists + 1)]
+        probes = next((n for n, r in enumerate(recalls, 1) if r >= target), lists)
+        return cls(centers, probes, float(recalls[probes - 1]))
+
+    def _nearest(self, rows: DataFrame, column: str, n: int, into: str) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(self.centers)
+
+        @F.pandas_udf("array<int>")
+        def nearest(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for part in vectors:
+                if not len(part):
+                    yield pd.Series([], dtype=object)
+                    continue
+                unit = _matrix(pa.array(part.tolist(), pa.list_(pa.float64())), sent.value.shape[1])
+                yield pd.Series(list(np.argsort(-(unit @ sent.value.T), axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return rows.withColumn(into, nearest(F.col(column)))
+
+    def assign(self, units: DataFrame) -> DataFrame:
+        """rowid, embedding and list of every unit with a vector; to be written, bucketed or partitioned by list."""
+        rows = units.where("embedding is not null").select(F.col("rowid").cast("long").alias("rowid"), "embedding")
+        return self._nearest(rows, "embedding", 1, "near").select("rowid", "embedding", F.col("near")[0].alias("list"))
+
+    def search(self, assigned: DataFrame, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """query_id, rowid, score and rk: the k nearest units of each query among the lists that it probes, scored exactly.
+
+        Queries meet rows by an equality join on the list, so a hot list is split by adaptive execution as any skewed key.
+        """
+        asked = self._nearest(queries, "query_vector", probes or self.probes, "near").select("query_id", "query_vector", F.explode("near").alias("list"))
+        pairs = assigned.join(asked, "list")
+        scored = pairs.select("query_id", "rowid", F.round(cosine_similarity(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
+        return _ranked(scored, k)
+
+
 def hyperplane_bucket(vector: Column, dimension: int, bits: int = 12, seed: int = 5) -> Column:
     """The side of ``bits`` random hyperplanes that a vector lies on, as one number."""
     planes = np.random.default_rng(seed).normal(size=(bits, dimension))
@@ -48,7 +180,10 @@ def hyperplane_bucket(vector: Column, dimension: int, bits: int = 12, seed: int
 
 
 def search_vector_buckets(units: DataFrame, queries: DataFrame, k: int, dimension: int, bits: int = 8, tables: int = 6) -> DataFrame:
-    """Approximate top-k: units that share a bucket with the query in one of several tables, scored exactly."""
+    """Approximate top-k: units that share a bucket with the query in one of several tables, scored exactly.
+
+    Its recall is whatever the buckets give (0.16 at 10 was seen on random vectors of 64 components); ``VectorIndex`` measures its own.
+    """
     keys = lambda v: F.explode(F.array(*[F.struct(F.lit(t).alias("t"), hyperplane_bucket(v, dimension, bits, 5 + t).alias("b")) for t in range(tables)]))
     left = units.where("embedding is not null").select("rowid", "embedding", keys(F.col("embedding")).alias("key"))
     right = queries.select("query_id", "query_vector", keys(F.col("query_vector")).alias("key"))

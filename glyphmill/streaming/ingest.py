@@ -1,4 +1,4 @@
-"""Streaming ingestion: micro-batches upserted by content hash, so a batch that comes twice changes nothing."""
+"""Streaming ingestion: micro-batches written under their number, so a batch that comes twice replaces itself."""
 
 from __future__ import annotations
 
@@ -42,8 +42,12 @@ def ingest_available(spark: SparkSession, schema: T.StructType, path: str, key:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint folder; under a temporary one only where none is set."""
+    """A folder under the shared checkpoint folder; under a temporary one only where none is set and all runs in one process."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphmill-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local-cluster") and spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="glyphmill-stream-")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base}/{name}"

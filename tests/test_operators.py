@@ -265,3 +265,65 @@ def test_many_query_vectors_are_searched_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, similarity.search_vector(units, queries, 4).collect()))
     monkeypatch.setattr(similarity, "BROADCAST_QUERIES", 4)
     assert sorted(map(tuple, similarity.search_vector(units, queries, 4).collect())) == want and len(want) == 44
+
+
+def test_stored_index_equals_search_of_texts(spark):
+    rows = frame(spark, CORPUS)
+    queries = [(k, q) for k, q in enumerate(["token_refresh", "token refresh", "supported?", "elan", "nothing_here", "the token"])]
+    index = lexical.build_index(rows)
+    want = sorted(map(tuple, lexical.search_fts(rows, queries, 10).collect()))
+    assert sorted(map(tuple, lexical.search_index(index, queries, 10).collect())) == want != []
+    side = lexical.search_index(index, queries, 10, rows.where("branch = 'side'")).collect()
+    assert sorted(map(tuple, side)) == sorted(map(tuple, lexical.search_fts(rows, queries, 10, F.col("branch") == "side").collect()))
+    plan = lexical.search_fts(rows, queries, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number() windowspecdefinition" in plan and "count(1) windowspecdefinition" not in plan
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_vector_index_recall(spark, clustered):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(20, 32))
+    points = rng.normal(size=(1500, 32)) * (0.4 if clustered else 1) + (centers[rng.integers(0, 20, 1500)] if clustered else 0)
+    rows = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)] + [(9999, None)], "rowid long, embedding array<float>")
+    queries = rows.where("rowid % 50 = 0").selectExpr("rowid as query_id", "embedding as query_vector")
+    index = similarity.VectorIndex.fit(rows)
+    assert index.assign(rows).count() == 1500 and (index.probes < len(index.centers) or not clustered)
+    exact = {(r["query_id"], r["rowid"]) for r in similarity.search_vector(rows, queries, 10).collect()}
+    found = {(r["query_id"], r["rowid"]) for r in index.search(index.assign(rows), queries, 10).collect()}
+    assert len(exact) == 300 and len(exact & found) / len(exact) >= 0.9
+    assert similarity.VectorIndex.fit(rows.limit(0)).assign(rows.limit(0)).count() == 0
+
+
+def test_publishing_is_exclusive(spark, tmp_path):
+    first, second = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    first.migrate()
+    path = f"{first.base}/_manifests/7.json"
+    assert first._claim(f"{path}.claim") and not second._claim(f"{path}.claim") and not second._write_new(path, {})
+    assert [r["version"] for r in first.migrations().orderBy("version").collect()] == [1, 2]
+    files = spark.createDataFrame([("repo", "main", p, "h", 1, None) for p in ("b", "a", "c")], "repo_id string, branch string, file_path string, file_hash string, chunk_count int, indexed_at timestamp")
+    other = Store(spark, str(tmp_path / "t"))
+    other.replace_branch("repo", "main", frame(spark, CORPUS[:6]), files, other.metadata_frame("repo", "main"))
+    assert [r["file_path"] for r in other.indexed_files("repo", "main").collect()] == ["a", "b", "c"]
+    before = other._current()[1]["branches"]
+    other.set_status("repo", "main", "failed", "x")
+    other.update_embeddings("repo", "main", spark.createDataFrame([("id1", [1.0])], "id string, embedding array<float>"), "m")
+    (old,), (new,) = before.values(), other._current()[1]["branches"].values()
+    # Only the changed tables have new versions, and the index stays while the texts do.
+    assert [n for n in old if old[n] != new[n]] == ["code_units", "index_metadata"]
+    queries = [(0, "token")]
+    assert sorted(map(tuple, lexical.search_index(other.index(), queries, 10).collect())) == sorted(map(tuple, lexical.search_fts(other.units(), queries, 10).collect()))
+    assert other.vacuum() == 0 and other.vacuum(young=0) == 0
+    other._write(f"{other.base}/data/repo/main/unpublished", {"code_units": frame(spark, CORPUS[:1])})
+    assert other.vacuum() == 0 and other.vacuum(young=0) == 1
+
+
+def test_parsed_timestamps(spark):
+    texts = ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05.250+02:00", "2024-01-02t03:04:05z", "2024-13-02T03:04:05Z", "yesterday", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r[0] for r in rows.orderBy("k").select(F.unix_millis(text.parse_timestamp(F.col("t")))).collect()]
+    assert got == [1704164645000, 1704157445250, 1704164645000, None, None, None]
+
+
+def test_macro_bodies_hold_no_items():
+    source = "macro_rules! make { ($x:ident) => { pub fn inside() {} } }\nthread_local! { pub static A: u8 = 1; }\nlazy! [ pub struct No; ];\nfn f() { if a != (b) { g!(pub fn no() {}) } }\npub fn after() { let v = vec![1, 2]; }\n"
+    assert [u.name for u in extract(source.encode(), "rust")] == ["after"]

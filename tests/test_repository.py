@@ -145,3 +145,53 @@ def test_staleness():
     assert service.should_refresh(row, "new", now) and not service.should_refresh(row, "old", now) and not service.should_refresh(row, None, now)
     assert service.should_refresh(row | {"status": "failed"}, "old", now) and service.should_refresh(None, None, now)
     assert not service.should_refresh(row | {"last_indexed_at": now - datetime.timedelta(minutes=1)}, "new", now)
+
+
+def test_searches_during_a_full_index(spark, home):
+    import threading
+
+    root = home / "repo"
+    _write(root, {"a.rs": RUST, "web/app.ts": TS})
+    s = service.Service(spark, str(home / "stores"), SketchEmbedder())
+    s.index(root)
+    running = threading.Thread(target=lambda: s.index(root, full=True))
+    running.start()
+    found = [s.search(root, "token_refresh", refresh=False).total_results for _ in range(10)]
+    running.join()
+    assert all(found) and s.search(root, "token_refresh", refresh=False).results[0]["name"] == "token_refresh"
+
+
+def test_markers_have_owners(spark, home, monkeypatch):
+    monkeypatch.setattr(service, "LONGEST_WAIT", 0.3)
+    root = home / "repo"
+    _write(root, {"a.rs": RUST})
+    s, context = service.Service(spark, str(home / "stores")), repo_context(root)
+    with s._marked(context):
+        with pytest.raises(service.StorageError), s._marked(context):
+            pass
+        assert s._marker(context).exists()
+        s._marker(context).write_text("another owner")
+    assert s._marker(context).read_text() == "another owner"
+
+
+def test_failed_reads_are_tried_again(spark, home, monkeypatch):
+    monkeypatch.setattr(service, "TRY_AGAIN", 0)
+    s, calls = service.Service(spark, str(home / "stores")), []
+
+    def run(good):
+        calls.append(1)
+        if len(calls) < good:
+            raise OSError("gone")
+        return [{}]
+
+    assert s._tried(lambda: run(4)) == [{}] and len(calls) == 4
+    calls.clear()
+    with pytest.raises(OSError, match="gone"):
+        s._tried(lambda: run(99))
+    assert len(calls) == service.SEARCH_TRIES
+
+
+def test_tools_say_what_they_take_and_give():
+    for tool in mcp.TOOLS:
+        assert set(tool["outputSchema"]["required"]) == set(tool["outputSchema"]["properties"])
+        assert all(p.get("description") for p in tool["inputSchema"]["properties"].values())
