@@ -74,8 +74,8 @@ def mix_plan(
 ) -> DataFrame:
     """One row a document: doc_id, the columns of ``keep``, source, size, source_size, target, copies.
 
-    Null texts and texts without words have size 0 and rate 0. A null source is a source of its
-    own, last in the order of names. Rows that share an id share the draw. An empty table gives
+    Null texts and texts without words have size 0, and are emitted at the rate of their source; a
+    source without any word has rate 0. A null source is a source of its own, last in the order of names. Rows that share an id share the draw. An empty table gives
     an empty plan. Other columns of the input are ignored.
     """
     carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)

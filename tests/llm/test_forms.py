@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +235,82 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     got = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str)
     assert got == sorted([(1, a), (0, b), (None, c), (7, d.upper()), (None, ""), (3, "x y z w"), (3, "p q r s")], key=str)
     assert corpus_pipeline.one_of_each_group(spark, docs.limit(0), "").count() == 0
+
+
+def _backoff_of_order(rows, order, least, alpha=0.4):
+    words = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
+    counts = Counter(tuple(ws[k : k + n]) for _, ws in words for n in range(1, order + 1) for k in range(len(ws) - n + 1))
+    total = sum(c for g, c in counts.items() if len(g) == 1)
+
+    def value(ws, k, n):
+        if n == 1:
+            return math.log(counts[(ws[k],)] / total)
+        gram = tuple(ws[k - n + 1 : k + 1])
+        return math.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= least else math.log(alpha) + value(ws, k, n - 1)
+
+    return sorted(((str(d), len(ws), sum(value(ws, k, min(order, k + 1)) for k in range(len(ws))) / len(ws) if ws else None) for d, ws in words), key=str)
+
+
+@pytest.mark.parametrize(("order", "least"), [(1, 1), (2, 1), (3, 1), (3, 2), (4, 1)])
+def test_backoff_of_any_order(spark, odd, monkeypatch, order, least):
+    monkeypatch.setattr(lm, "GROUP_BYTES", 100_000)
+    monkeypatch.setattr(lm, "PART_BYTES", 30_000)
+    rng = random.Random(order)
+    rows = [(d, t) for d, t, _, _ in ROWS if d != 8] + [(100 + k, " ".join(rng.choice(["a", "b", "cc", "é"]) for _ in range(rng.randrange(12)))) for k in range(40)] + [(300, "x" * (1 << 21) + " a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((str(r["doc_id"]), r["n_words"], r["score"]) for r in lm.backoff_scores(docs, min_pair=least, order=order).collect()), key=str)
+    want = _backoff_of_order(rows, order, least)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(g[2] == w[2] or g[2] == pytest.approx(w[2], abs=1e-9) for g, w in zip(got, want, strict=True))
+
+
+def test_packed_ngrams_come_back():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        assert (lm._unpack(lm._pack(keys)) == keys).all()
+        assert lm._ranges(keys, 7)[-1] == len(keys) and (np.diff(lm._ranges(keys, 7)) >= 0).all()
+    for counts in ([1, 2, 255], [1, 256], [1, 1 << 40]):
+        assert lm._expand(lm._squeeze(np.array(counts))).tolist() == counts
+
+
+def test_registered_columns(spark, odd, folder):
+    """The digests of op3, op4, op5 and op7 from plain versions of their definitions."""
+    from tokenizers import Tokenizer
+
+    from glyphmill.llm import simhash
+
+    rows = [(d, t, la, s) for d, t, la, s in ROWS if d not in (None, 8)] + [(20, "x" * 49, "en", "a"), (21, "y" * 70 + " " + "z" * 60, "en", "a"), (22, "z" * 60, "en", "a")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    at = folder(documents=docs)
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    brute = suffixes.brute_force([(d, t) for d, t, _, _ in rows])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.op3(spark, at).collect()}
+    assert got == brute
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    library.no_truncation(), library.no_padding()
+    coded = {d: library.encode(t or "", add_special_tokens=False).ids for d, t, _, _ in rows}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op4(spark, at).collect()}
+    assert got == {d: (len(ids), sha(",".join(map(str, ids)).encode()), sha(library.decode(ids, skip_special_tokens=False).encode())) for d, ids in coded.items()}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op5(spark, at).collect()}
+    assert {d: f for d, (f, _) in got.items()} == {d: f"{_fingerprint(t):016x}" for d, t, _, _ in rows} and got[2][1] == got[1][1] == 1 and got[5][1] == 3
+    for r in mpeg.op7(spark, at).collect():
+        payload = mpeg.padded((dict((d, t) for d, t, _, _ in rows)[r["doc_id"]] or "").encode())
+        media = mpeg.encode(payload)
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (len(payload), sha(payload), zlib.crc32(payload[-64:]), len(media), sha(media))
+        assert r["n_bytes"] <= r["payload_bytes"] and f"frames={len(mpeg.parse(media).starts)};" in r["feature"]
+
+
+def test_pipeline_runs_on_odd_rows(spark, odd, none, folder):
+    """run() end to end: rows decode to the texts of their documents (9 loses what 1 has too), and empty tables stay empty."""
+    import corpus_pipeline
+
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.createDataFrame([(1, 1, 0), (7, 1, 0), (4, 0, 0), (4, 1, 1), (99, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    at = folder(documents=plain, labels=labels)
+    rows = corpus_pipeline.run(spark, at).collect()
+    texts = {d: t or "" for d, t, _, _ in ROWS}
+    assert rows and {r["doc_id"] for r in rows} <= set(texts) and 2 not in {r["doc_id"] for r in rows}
+    assert all(r["n_tokens"] == len(r["ids"]) and r["decoded"] == ("and then:  Ende" if r["doc_id"] == 9 else texts[r["doc_id"]]) for r in rows)
+    plain.limit(0).write.mode("overwrite").parquet(f"{at}/documents.parquet")
+    assert corpus_pipeline.run(spark, at).count() == 0

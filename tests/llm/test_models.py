@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,73 @@ def test_language_without_letters(odd):
 def test_quality_filter_keeps_all_columns(odd):
     kept = quality.keep_good(odd, quality.train([]), threshold=0.5)
     assert kept.columns == odd.columns and kept.count() == len(ROWS) and quality.keep_good(odd, quality.train([]), threshold=0.6).count() == 0
+
+
+def test_votes_equal_brute_force():
+    """Quality: the cosines and votes of plain loops over whole vectors."""
+    texts = [("A plain sentence about rivers. It ends here.", 1), ("Another plain one, with a comma, and more.", 1), ("!!! BUY $$$ NOW !!!", 0), ("a a a a a a a", 0), ("Some words that go on about rivers.", 1), ("CLICK CLICK CLICK", 0)] * 4
+    model = quality.train(texts)
+    raws = [t.encode() for t in ("rivers and plain words.", "BUY BUY NOW $$$", "", "a a a")]
+    got = quality.score_batch(model, raws)
+    for raw, score in zip(raws, got.tolist(), strict=True):
+        vector = (np.log1p(quality.terms(raw).astype(float)) * model.weights) @ model.axes
+        length = np.sqrt(sum(x * x for x in vector))
+        votes = sorted(((round(float(sum(a * b for a, b in zip(vector / length if length else vector, n, strict=True))), 9), y) for n, y in zip(model.neighbours, model.labels, strict=True)), reverse=True)
+        least = votes[quality.NEIGHBOURS - 1][0]
+        near = [(max(c, 0), y) for c, y in votes if c >= least]
+        total = sum(c for c, _ in near)
+        assert score == pytest.approx(sum(c * y for c, y in near) / total if total else model.prior, abs=2e-6)
+    assert quality.terms(b"Word word")[quality.HASHED + 4 * quality.BINS :].max() == 2
+
+
+def test_toxicity_equals_brute_force(spark):
+    """The mean of each window's n-gram margins, pooled, by plain loops."""
+    model = toxicity.train(TRAIN)
+    texts = ["", "you moron", "a kind note about the river and a clown in it today", "quiet " * 50 + "moron", "x" * 70 + " river moron", "one two three four five"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        words, begin, end = toxicity.layout(text, toxicity.SPAN)
+        margins = []
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            grams = [toxicity.gram_buckets([w])[0] for w in words[a:b]]
+            margins.append(float(model.margins[np.concatenate(grams)].mean()))
+        weights = [np.exp(toxicity.SHARPNESS * (m - max(margins))) for m in margins]
+        pooled = sum(m * w for m, w in zip(margins, weights, strict=True)) / sum(weights) if margins else 0.0
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-np.clip(pooled + model.bias, -30, 30))), abs=1e-8)
+        assert set().union(*(range(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True))) == set(range(len(words)))
+
+
+def test_language_equals_brute_force():
+    rows = [("the dog and the fox", "en"), ("der Hund und der Fuchs", "de"), ("le chien et le renard", "fr")]
+    scorer = language.Scorer(model := language.train(rows))
+    for text in ("the Hund", "foxes", "zzz", "chien renard chien"):
+        total = np.zeros(3)
+        for word in language.words_of(text):
+            if word in model.words:
+                total += model.word_scores.rows([model.words[word]])[0]
+                continue
+            marked, at = f"\x02{word}\x03", 0
+            while at < len(marked):
+                n = next((n for n in range(min(language.LONGEST, len(marked) - at), 0, -1) if marked[at : at + n] in model.grams), 0)
+                total += model.gram_scores.rows([model.grams[marked[at : at + n]]])[0] + (language.LONGEST - n) * language.BACKOFF if n else model.nothing
+                if n:
+                    total += language.BACKOFF
+                at += max(n, 1)
+        assert scorer.predict(text)[0] == model.languages[int(np.argmax(total))]
+        assert np.allclose(scorer.totals(language.words_of(text)), total)
+
+
+def test_numerals_are_no_letters(spark):
+    model = language.train([("the dog", "en"), ("der Hund", "de")])
+    rows = [(1, "½ ² ①"), (2, "Ⅷ 12 _"), (3, "dog½dog")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows, "doc_id int, text string"), model).collect()}
+    assert got == {1: "und", 2: "und", 3: "en"}
+
+
+def test_labels_that_disagree_are_left_out(spark):
+    from glyphmill.llm.common import labelled_texts
+
+    ids = [k for k in range(1, 60) if not is_held_out(k)][:4]
+    docs = spark.createDataFrame([(d, f"text {d}") for d in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 1), (ids[0], 1), (ids[1], 0), (ids[1], 1), (ids[2], 0), (ids[3], None), (None, 1)], "doc_id long, toxic int")
+    assert labelled_texts(docs, labels, "toxic", 10) == [(f"text {ids[2]}", 0), (f"text {ids[0]}", 1)]

@@ -186,3 +186,33 @@ def test_top_k(spark, monkeypatch):
 def test_exact_beyond_doubles():
     big = np.array([2.0**40, 2.0**40])
     assert topk._exact(big, np.array([[2.0**20, 1.0]]))[0] == 2**60 + 2**40 and topk._exact(big, np.array([[2.0**62, 0]]))[0] == 2**63 - 1
+
+
+def test_top_k_of_odd_rows(spark, monkeypatch):
+    """Repeated ids and rows, null ids, clashing names, and few rows a round."""
+    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    monkeypatch.setattr(topk, "SAMPLE", 3)
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 3.0]), (None, [9.0, 9.0]), (100, [1.0]), (3, [-1.0, 0.0]), (200, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 7, "x", 1.0) for i, v in rows], "vec_id long, embedding array<float>, score int, rank string, times double")
+    got = sorted(tuple(r) for r in topk.top_k(df, 3).collect())
+    whole = [(i, np.floor(1024 * np.array([*v, 0.0][:2]))) for i, v in rows if i is not None]
+    want = []
+    for q in (0, 100, 200):
+        scores = sorted((-int(a @ b), c) for i, a in whole if i == q for c, b in whole if c != q)[:3]
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(scores, 1)]
+    assert got == want
+
+
+def test_elimination_evaluates_less():
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(8, 16)) * 4000
+    points = np.floor(np.repeat(centers, 200, axis=0) + rng.normal(size=(1600, 16)) * 50)
+    pivots = topk.choose_pivots(points[::10], 16)
+    far = topk._distances(points, pivots).astype(np.float32)
+    search = topk.Search(np.arange(8) * 200, points[::200], far[::200], np.full(8, -np.inf), 10)
+    for at in range(0, 1600, 200):
+        search.take(np.arange(at, at + 200), points[at : at + 200], far[at : at + 200])
+    for q, (ids, scores) in zip(search.ids.tolist(), search.best, strict=True):
+        every = sorted((-int(points[q] @ points[c]), c) for c in range(1600) if c != q)[:10]
+        assert every == [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
+    assert search.evaluated < 8 * 1600 / 3
