@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``. A null or empty text passes the first stage with the neighbours'
-prior, is one group of near duplicates with other blank texts, has nothing to cut, has size 0
-in the mix (and so is not emitted), and would encode to no ids. Empty tables stay empty.
+prior, is one group of near duplicates with other blank texts, has nothing to cut, adds no words
+to the mix (where it is emitted at its source's rate), and encodes to no ids. Empty tables stay empty.
 """
 
 from __future__ import annotations
