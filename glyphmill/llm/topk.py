@@ -184,8 +184,16 @@ def pivot_table(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
                 c = max(sizes, key=sizes.get)
                 yield _pack(*held.pop(c))
                 del sizes[c]
+        # What is left is packed in whole blocks, cells beside their neighbours in number.
+        rest: tuple[list, list, list] = ([], [], [])
         for c in sorted(held):
-            yield _pack(*held[c])
+            for column, values in zip(rest, held[c], strict=True):
+                column += values
+            if sum(map(len, rest[0])) >= CANDIDATE_ROWS:
+                yield _pack(*rest)
+                rest = ([], [], [])
+        if rest[0]:
+            yield _pack(*rest)
 
     return rows.mapInArrow(tidy(run), "ids binary, data binary, far binary, wide int, small boolean")
 
