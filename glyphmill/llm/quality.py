@@ -102,6 +102,16 @@ class Model:
         return np.where(total > 0, weight @ self.labels / np.where(total > 0, total, 1), self.prior)
 
 
+def leading_axes(matrix: np.ndarray, n: int, rounds: int = 30) -> np.ndarray:
+    """The leading right singular vectors, by subspace iteration: no matrix of terms by terms is held."""
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(matrix.shape[1], n + 16)))[0]
+    for _ in range(rounds):
+        basis = np.linalg.qr(matrix.T @ (matrix @ basis))[0]
+    inner = matrix @ basis
+    values, turn = np.linalg.eigh(inner.T @ inner)
+    return basis @ turn[:, np.argsort(-values)[:n]]
+
+
 def train(rows: list[tuple[str, int]]) -> Model:
     """Latent axes and labelled vectors of (text, label) rows."""
     if not rows:
@@ -111,9 +121,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
     weights = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + 0.1
     weights[seen == 0] = 0
     weights[HASHED + 4 * BINS :] *= WORD_WEIGHT
-    matrix = np.log1p(counts) * weights
-    values, vectors = np.linalg.eigh((matrix.T @ matrix).astype(np.float64))
-    axes = vectors[:, np.argsort(-values)[:DIMENSIONS]]
+    axes = leading_axes(np.log1p(counts).astype(np.float64) * weights, DIMENSIONS)
     model = Model(weights, axes, np.zeros((0, axes.shape[1])), np.array([y for _, y in rows], np.float64))
     model.neighbours = model.project(counts)
     return model
