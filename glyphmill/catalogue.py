@@ -485,6 +485,14 @@ def _q_sizes(spark, sf):
     return rows.where((F.length("content") <= 8000) & ~paths.has_nul(F.col("content"))).select("doc_id", F.length("content").cast("long").alias("size"))
 
 
+def _q_timestamps(spark, sf):
+    """Times of events as RFC 3339 texts: in UTC, with an offset, and without one (which is no such text: -1)."""
+    ts = F.col("ts").cast("timestamp")
+    shown = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    given = F.when(F.col("event_id") % 3 == 0, F.concat(shown, F.lit("Z"))).when(F.col("event_id") % 3 == 1, F.concat(shown, F.lit("+02:00"))).otherwise(shown)
+    return _table(spark, sf, "events").select("event_id", F.coalesce(F.unix_seconds(text.parse_timestamp(given)), F.lit(-1)).alias("seconds"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -511,6 +519,11 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
             lambda s, sf: _table(s, sf, "benchmark").select("item_id", text.sanitized_column(F.col("text")).alias("phrases")),
             r"""SELECT item_id, CASE WHEN len(w) > 0 THEN array_to_string(list_transform(w, lambda x: '"' || replace(x, '"', '""') || '"'), ' ') END AS phrases FROM (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)""",
         ),
+        "single_line_text": (
+            lambda s, sf: _table(s, sf, "documents").select("doc_id", F.md5(text.single_line(F.col("text")).cast("binary")).alias("line_md5")),
+            r"SELECT doc_id, md5(regexp_replace(trim(text), '\s+', ' ', 'g')) AS line_md5 FROM documents",
+        ),
+        "parse_timestamps": (_q_timestamps, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN epoch(ts)::BIGINT WHEN 1 THEN epoch(ts)::BIGINT - 7200 ELSE -1 END AS seconds FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)"),
         "vector_cosine_topk": (_q_vector, SQL_VECTOR + f"SELECT query_id, rowid, score, rk FROM ({_sql_top('cosines', 'score DESC, rowid', 10)})"),
         "vector_topk_batch": (
             _q_vector_batch,

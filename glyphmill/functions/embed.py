@@ -41,6 +41,8 @@ class OnnxEmbedder:
         self.dimension, self.max_tokens, self.model_name = dimension, max_tokens, model_name
 
     def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        if not texts:
+            return []
         session, tokenizer = _onnx(self.model_path, self.tokenizer_path, self.max_tokens)
         coded = tokenizer.encode_batch(texts)
         ids = np.array([c.ids for c in coded], np.int64)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions import ids, paths, text, vectors
-from glyphmill.functions.embed import SketchEmbedder, with_embedding
+from glyphmill.functions.embed import OnnxEmbedder, SketchEmbedder, with_embedding
 from glyphmill.functions.extract import extract
 from glyphmill.operators import changes, fusion, lexical, similarity
 from glyphmill.operators.extraction import extract_rows
@@ -327,3 +327,49 @@ def test_parsed_timestamps(spark):
 def test_macro_bodies_hold_no_items():
     source = "macro_rules! make { ($x:ident) => { pub fn inside() {} } }\nthread_local! { pub static A: u8 = 1; }\nlazy! [ pub struct No; ];\nfn f() { if a != (b) { g!(pub fn no() {}) } }\npub fn after() { let v = vec![1, 2]; }\n"
     assert [u.name for u in extract(source.encode(), "rust")] == ["after"]
+
+
+def _field(number: int, value: int | bytes | str) -> bytes:
+    """One field of a protobuf message: a number, or the bytes of a text or of another message."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    raw = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(raw)) + raw
+
+
+def _lookup_model(vectors: np.ndarray) -> bytes:
+    """An ONNX model of one step: input_ids (int64, texts by tokens) to their rows of ``vectors``."""
+
+    def value(name, kind, dims):
+        shape = b"".join(_field(1, _field(2, d) if isinstance(d, str) else _field(1, d)) for d in dims)
+        return _field(1, name) + _field(2, _field(1, _field(1, kind) + _field(2, shape)))
+
+    weights = b"".join(_field(1, n) for n in vectors.shape) + _field(2, 1) + _field(8, "vectors") + _field(9, vectors.astype("<f4").tobytes())
+    node = _field(1, "vectors") + _field(1, "input_ids") + _field(2, "out") + _field(4, "Gather")
+    graph = _field(1, node) + _field(2, "lookup") + _field(5, weights) + _field(11, value("input_ids", 7, ["texts", "tokens"])) + _field(12, value("out", 1, ["texts", "tokens", vectors.shape[1]]))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(2, 13))
+
+
+def test_onnx_embedder_runs_a_local_model(spark, tmp_path):
+    """Means of the token vectors under the mask, of length 1; long texts are cut at max_tokens, texts without tokens give zeros."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    table = np.random.default_rng(2).normal(size=(4, 3)).astype(np.float32)
+    tokenizer = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1, "b": 2, "c": 3}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.save(f"{tmp_path}/tokenizer.json")
+    (tmp_path / "model.onnx").write_bytes(_lookup_model(table))
+    embedder = OnnxEmbedder(f"{tmp_path}/model.onnx", f"{tmp_path}/tokenizer.json", dimension=3, max_tokens=4)
+    cases = {"a b": [1, 2], "c": [3], "a a b zz c c c": [1, 1, 2, 0], "": []}
+    rows = spark.createDataFrame([(t,) for t in cases], "text string").repartition(2)
+    for text_, vector in with_embedding(rows, embedder, F.col("text")).collect():
+        mean = table[cases[text_]].astype(float).mean(axis=0) if cases[text_] else np.zeros(3)
+        assert vector == pytest.approx((mean / (np.linalg.norm(mean) or 1)).tolist(), abs=1e-6)
+    assert embedder.embed_batch(["", ""]) == [[0.0] * 3] * 2 and embedder.embed_batch([]) == []
