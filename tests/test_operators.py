@@ -294,6 +294,39 @@ def test_vector_index_recall(spark, clustered):
     assert similarity.VectorIndex.fit(rows.limit(0)).assign(rows.limit(0)).count() == 0
 
 
+def test_vector_index_search_makes_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(400, 8)).astype(np.float32)
+    points[100:160], points[160] = points[7], 0
+    odd = [(900, None), (901, [float("nan")] * 8), (902, [float("inf")] * 8)]
+    rows = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)] + odd, "rowid long, embedding array<float>")
+    queries = rows.where("rowid % 20 = 0 or rowid in (7, 160, 901)").selectExpr("rowid as query_id", "embedding as query_vector")
+    index = similarity.VectorIndex.fit(rows, most_lists=6)
+    assigned = index.assign(rows)
+    unit = points / np.maximum(np.sqrt((points.astype(float) ** 2).sum(axis=1, keepdims=True)), 1e-30)
+    of = (unit @ index.centers.T).argmax(axis=1)
+    want = set()
+    for q in sorted({*range(0, 400, 20), 7, 160}):
+        near = np.argsort(-(unit[q] @ index.centers.T), kind="stable")[:2]
+        found = sorted((-round(float(unit[r] @ unit[q]), 6) + 0.0, r) for r in range(400) if of[r] in near)[:5]
+        want |= {(q, r, rk) for rk, (_, r) in enumerate(found, 1)}
+    got = lambda: {(r["query_id"], r["rowid"], r["rk"]) for r in index.search(assigned, queries, 5, probes=2).collect()}
+    assert got() == want
+    monkeypatch.setattr(similarity, "INDEX_QUERIES", 6)
+    monkeypatch.setattr(similarity, "PRODUCT", 50)
+    found = index.search(assigned, queries, 5, probes=2)
+    # A join of rows and queries would make a row of every pair: too many of them for a larger table.
+    assert got() == want and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert index.search(assigned, queries.limit(0), 5).count() == index.search(assigned, queries, 0).count() == 0
+
+
+def test_vector_index_sample_is_bounded_before_its_sort(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id as rowid", "array(cast(id as float)) as embedding")
+    monkeypatch.setattr(similarity, "INDEX_SAMPLE", 100)
+    want = rows.orderBy(F.xxhash64("rowid"), "rowid").limit(100).collect()
+    assert similarity._sampled(rows).column("rowid").to_pylist() == [r["rowid"] for r in want]
+
+
 def test_publishing_is_exclusive(spark, tmp_path):
     first, second = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
     first.migrate()
