@@ -41,24 +41,38 @@ def _units(rows: DataFrame) -> DataFrame:
     return rows.withColumns(columns).withColumn("id", ids.code_unit_id())
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns that documents alone give, derived before any join, so that a join moves texts only for those who read them."""
+    return _table(spark, sf, "documents").select(
+        F.col("doc_id").alias("rowid"),
+        F.lit("docs").alias("repo_id"),
+        F.col("lang").alias("branch"),
+        F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"),
+        F.col("source").alias("name"),
+        F.substring("text", 1, 80).alias("signature"),
+        F.col("text").alias("content"),
+        ids.content_hash(F.col("text")).alias("file_hash"),
+    )
+
+
 def units_docs(spark: SparkSession, sf: str) -> DataFrame:
     """documents as units of repository ``docs``, branch by language, with vectors by equal id."""
-    docs, stored = _table(spark, sf, "documents"), _table(spark, sf, "embeddings")
-    joined = docs.join(stored, docs.doc_id == stored.vec_id, "left")
-    return _units(
-        joined.select(
-            F.col("doc_id").alias("rowid"),
-            F.lit("docs").alias("repo_id"),
-            F.col("lang").alias("branch"),
-            F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"),
-            F.col("source").alias("name"),
-            F.substring("text", 1, 80).alias("signature"),
-            F.col("text").alias("content"),
-            "embedding",
-            F.when(F.col("embedding").isNotNull(), MODEL).otherwise("").alias("embedding_model"),
-            ids.content_hash(F.col("text")).alias("file_hash"),
-        )
-    )
+    docs, stored = _documents(spark, sf), _table(spark, sf, "embeddings").select("vec_id", "embedding")
+    model = F.when(F.col("embedding").isNotNull(), MODEL).otherwise("").alias("embedding_model")
+    joined = docs.join(stored, docs.rowid == stored.vec_id, "left")
+    return _units(joined.select("rowid", "repo_id", "branch", "file_path", "name", "signature", "content", "embedding", model, "file_hash"))
+
+
+def texts_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``units_docs`` without their vectors, for searches of words: no text is shuffled to meet a vector.
+
+    A join with vectors changes the rows only where some share an id, so just such ids are joined, as often as they occur; they are sent
+    to every task.
+    """
+    docs, given = _documents(spark, sf), _table(spark, sf, "embeddings").where("vec_id is not null")
+    several = given.groupBy("vec_id").count().where("count > 1")
+    again = several.select("vec_id", F.explode(F.array_repeat(F.lit(True), F.col("count").cast("int"))).alias("again"))
+    return _units(docs.join(F.broadcast(again), docs.rowid == again.vec_id, "left").drop("vec_id", "again"))
 
 
 def units_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,9 +247,9 @@ def _metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf: str, k: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
-    units = units_docs(spark, sf)
+    units = texts_docs(spark, sf)
     fts = lexical.search_fts(units, [(0, "hation"), (7, "the thing"), (42, "of_the")], k, weights=FIELD_WEIGHTS)
-    return units, fts, similarity.search_vector(units, _query_vectors(spark, sf), k)
+    return units, fts, similarity.search_vector(units_docs(spark, sf), _query_vectors(spark, sf), k)
 
 
 def _sql_hits(k: int = 30) -> str:
@@ -330,12 +344,12 @@ def _rounded(hits: DataFrame) -> DataFrame:
 
 
 def _q_fts_scores(spark, sf):
-    hits = _rounded(lexical.search_fts(units_docs(spark, sf), QUERIES, 20, weights=CONTENT))
+    hits = _rounded(lexical.search_fts(texts_docs(spark, sf), QUERIES, 20, weights=CONTENT))
     return hits.select("query_id", "rowid", F.round(lexical.fts_score(F.col("bm25")), 6).alias("score"), F.round(lexical.reference_fts_score(F.col("bm25")), 6).alias("reference_score"))
 
 
 def _q_mode(spark, sf, fts: bool):
-    units = units_docs(spark, sf)
+    units = texts_docs(spark, sf) if fts else units_docs(spark, sf)
     config = SearchConfig(limit=5, use_fts=fts, use_vector=not fts)
     shaped = searching.search_many(units, [(0, "hation"), (7, "the thing"), (42, "of_the")], config, query_vectors=_query_vectors(spark, sf))
     return shaped.select("query_id", "rk", "rowid", "score", "match_type")
@@ -497,7 +511,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _entries() -> dict[str, tuple[Query, str | None]]:
-    docs_fts = lambda queries, where=None, weights=CONTENT, k=10: lambda s, sf: _rounded(lexical.search_fts(units_docs(s, sf), queries, k, F.expr(where) if where else None, weights))
+    docs_fts = lambda queries, where=None, weights=CONTENT, k=10: lambda s, sf: _rounded(lexical.search_fts(texts_docs(s, sf), queries, k, F.expr(where) if where else None, weights))
     one, both, phrase = [(1, "hation")], [(2, "the hation")], [(3, "of_the")]
     return {
         "bm25_single_term_topk": (docs_fts(one), _fts_sql(SQL_DOCS, one, CONTENT, 10)),
@@ -508,11 +522,11 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
         "bm25_branch_filter_global_stats": (docs_fts([(5, "entre des")], "branch = 'fr'"), _fts_sql(SQL_DOCS, [(5, "entre des")], CONTENT, 10, "branch = 'fr'")),
         "fts_score_normalize": (_q_fts_scores, f"SELECT query_id, rowid, round(abs(bm25) / (1 + abs(bm25)), 6) AS score, round(1 / (1 + abs(bm25)), 6) AS reference_score FROM ({_fts_sql(SQL_DOCS, QUERIES, CONTENT, 20)})"),
         "corpus_stats": (
-            lambda s, sf: lexical.corpus_stats(units_docs(s, sf), CONTENT).select("n_docs", "total_tokens", F.round("avg_len", 6).alias("avg_len")),
+            lambda s, sf: lexical.corpus_stats(texts_docs(s, sf), CONTENT).select("n_docs", "total_tokens", F.round("avg_len", 6).alias("avg_len")),
             f"WITH {SQL_DOCS} SELECT count(*) AS n_docs, sum(len({_sql_tokens('content')}))::BIGINT AS total_tokens, round(avg(len({_sql_tokens('content')})), 6) AS avg_len FROM units",
         ),
         "term_document_frequency": (
-            lambda s, sf: lexical.document_frequency(units_docs(s, sf), CONTENT),
+            lambda s, sf: lexical.document_frequency(texts_docs(s, sf), CONTENT),
             f"WITH {SQL_DOCS}, flat AS (SELECT rowid, unnest({_sql_tokens('content')}) AS token FROM units) SELECT token, count(DISTINCT rowid) AS n_docs, count(*) AS n_occurrences FROM flat GROUP BY token",
         ),
         "sanitize_query_phrases": (

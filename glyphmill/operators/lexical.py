@@ -108,6 +108,8 @@ def _positions(tokenized: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def _matches(flat: DataFrame, terms: Terms) -> DataFrame:
     """query_id, phrase_id, rowid, n_tok, n_phrases and the weighted count of each phrase in each row, from token places."""
+    # Said here for every use of the matches: a later join on rowid would say it of one alone, and the texts were split once a use.
+    flat = flat.where("rowid is not null")
     if len(terms.tokens) <= BROADCAST_TERMS:
         joined = flat.where(F.col("token").isin(terms.tokens)).join(F.broadcast(terms.rows), "token")
     else:
